@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from fleetquery.llm import exact_dedup, sharding
+from fleetquery.llm import chat, exact_dedup, sharding, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_sharding": sharding.op6_sharding,
+    "op8_chat_format": chat.op8_chat_format,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_chat_format": chat.OP8_SQL,
 }
