@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fleetquery.llm import chat, exact_dedup, sharding, simhash
+from fleetquery.llm import bpe, chat, exact_dedup, language_id, packing, sharding, simhash, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op6_sharding": sharding.op6_sharding,
+    "op7_bpe": bpe.op7_bpe,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL = {
