@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fleetquery.llm import bpe, chat, exact_dedup, language_id, packing, sharding, simhash, token_store
+from fleetquery.llm import bpe, chat, exact_dedup, language_id, packing, pii, sharding, simhash, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_pii": pii.op2_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
