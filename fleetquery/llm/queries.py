@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetquery.llm import bpe, chat, exact_dedup, language_id, packing, pii, sharding, simhash, token_store
+from fleetquery.llm import bpe, chat, exact_dedup, fingerprints, language_id, packing, pii, sharding, simhash, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_chat_format": chat.op8_chat_format,
     "op9_packing": packing.op9_packing,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 ORACLE_SQL = {
