@@ -25,9 +25,9 @@ TABLES = 3
 CELLS = 8
 _CELL_BITS = 3
 #: Digests of either side that one of many sketches is meant to take.
-LOAD = 10
+LOAD = 8
 #: Times that a failed sketch is split into four.
-SPLITS = 2
+SPLITS = 1
 #: Paragraphs above this many characters are cut into sentences.
 LONG_PARAGRAPH = 240
 _DIGEST_BITS = 63
@@ -47,43 +47,52 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.shiftrightunsigned(F.xxhash64(p), 1))))
 
 
-def _cell(digest: Column, number: Column) -> Column:
-    """Whether cell ``number`` of a sketch takes ``digest``."""
-    shift = (number / CELLS).cast("int") * _CELL_BITS
-    own = F.call_function("shiftright", digest, shift).bitwiseAND(F.lit(CELLS - 1))
-    return own == (number % CELLS)
+def _cells() -> Column:
+    """Each cell of a sketch: the bits of a digest it looks at, and their value
+    in the digests it takes. A constant."""
+    places = [(t * _CELL_BITS, c) for t in range(TABLES) for c in range(CELLS)]
+    bits = [((CELLS - 1) << shift, c << shift) for shift, c in places]
+    return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(v).cast("long").alias("value")) for m, v in bits])
+
+
+def _takes(cell: Column, digest: Column) -> Column:
+    return digest.bitwiseAND(cell["mask"]) == cell["value"]
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest)
 
 
+def _state(cell: Column, count: Column, key: Column, check: Column) -> Column:
+    return F.struct(
+        cell["mask"].alias("mask"), cell["value"].alias("value"), count.alias("count"), key.alias("key"), check.alias("check")
+    )
+
+
 def sketch(digests: Column) -> Column:
     """Array of cells: count, key (XOR of digests), check (XOR of checks)."""
+    zero = F.lit(0).cast("long")
 
-    def cell(number: Column) -> Column:
-        own = F.filter(digests, lambda d: _cell(d, number))
-        zero = F.lit(0).cast("long")
+    def fill(cell: Column) -> Column:
         return let(
-            own,
-            lambda held: F.struct(
-                F.size(held).alias("count"),
-                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(d)).alias("key"),
-                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(_check(d))).alias("check"),
+            F.filter(digests, lambda d: _takes(cell, d)),
+            lambda held: _state(
+                cell,
+                F.size(held),
+                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(d)),
+                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(_check(d))),
             ),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), cell)
+    return F.transform(_cells(), fill)
 
 
 def subtract(left: Column, right: Column) -> Column:
     return F.zip_with(
         left,
         right,
-        lambda a, b: F.struct(
-            (a["count"] - b["count"]).alias("count"),
-            a["key"].bitwiseXOR(b["key"]).alias("key"),
-            a["check"].bitwiseXOR(b["check"]).alias("check"),
+        lambda a, b: _state(
+            a, a["count"] - b["count"], a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"])
         ),
     )
 
@@ -102,18 +111,16 @@ def peel(cells: Column) -> Column:
         new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("digest"), c["count"].alias("side"))))
 
         def without(found: Column) -> Column:
-            def clear(c: Column, number: Column) -> Column:
+            def clear(cell: Column) -> Column:
                 return F.aggregate(
-                    found,
-                    c,
-                    lambda a, p: F.when(
-                        _cell(p["digest"], number),
-                        F.struct(
-                            (a["count"] - p["side"]).alias("count"),
-                            a["key"].bitwiseXOR(p["digest"]).alias("key"),
-                            a["check"].bitwiseXOR(_check(p["digest"])).alias("check"),
-                        ),
-                    ).otherwise(a),
+                    F.filter(found, lambda p: _takes(cell, p["digest"])),
+                    cell,
+                    lambda a, p: _state(
+                        a,
+                        a["count"] - p["side"],
+                        a["key"].bitwiseXOR(p["digest"]),
+                        a["check"].bitwiseXOR(_check(p["digest"])),
+                    ),
                 )
 
             more = F.struct(
