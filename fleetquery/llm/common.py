@@ -69,3 +69,29 @@ def bit_of(position: Column, bitmap: Column) -> Column:
     """Bit ``position`` of a bitmap that ``bitmap_construct_agg`` has made."""
     byte = F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (position % 8).cast("int")) == 1
+
+
+#: 2**23 bits: 256 bitmap rows of 4 KB, so each broadcast holds 1 MB.
+FILTER_BITS = 23
+
+
+def _slot(keys: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+
+
+def bitmap_of(rows: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Bitmaps of the slots that the rows' keys hash to: of a fixed size,
+    however many rows there are."""
+    slots = rows.select(_slot(keys, bits).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
+    )
+
+
+def in_bitmap(rows: DataFrame, bitmaps: DataFrame, keys: list[str], name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a boolean ``name``: false if surely no row of
+    ``bitmap_of`` has its keys."""
+    slot = _slot(keys, bits)
+    marked = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
+    found = F.coalesce(bit_of(F.bitmap_bit_position(slot), F.col("bitmap")), F.lit(False))
+    return marked.select(*[rows[c] for c in rows.columns], found.alias(name))

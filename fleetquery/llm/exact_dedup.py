@@ -9,34 +9,17 @@ groups that meet in one bit cost a needless hash, never a wrong answer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetquery.llm.common import bit_of, table
+from fleetquery.llm.common import FILTER_BITS, bitmap_of, in_bitmap, table
 
-#: 2**23 bits: 256 bitmap rows of 4 KB, so each broadcast holds 1 MB.
-FILTER_BITS = 23
 PREFIX_CHARS = 64
 
 
-def _slot(keys: list[str], bits: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
-
-
-def repeated_keys(rows: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+def repeated_keys(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """Bitmaps of the keys that at least two rows hold."""
-    slots = rows.groupBy(*keys).count().where("count > 1").select(_slot(keys, bits).alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
-    )
-
-
-def mark_repeated(rows: DataFrame, bitmaps: DataFrame, keys: list[str], name: str, bits: int = FILTER_BITS) -> DataFrame:
-    """``rows`` with a boolean ``name``: false if no other row has its keys."""
-    slot = _slot(keys, bits)
-    marked = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
-    found = F.coalesce(bit_of(F.bitmap_bit_position(slot), F.col("bitmap")), F.lit(False))
-    return marked.select(*rows.columns, found.alias(name))
+    return bitmap_of(rows.groupBy(*keys).count().where("count > 1"), keys, bits)
 
 
 def refine(docs: DataFrame, bits: int = FILTER_BITS, prefix_chars: int = PREFIX_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +33,10 @@ def refine(docs: DataFrame, bits: int = FILTER_BITS, prefix_chars: int = PREFIX_
         "fq_prefix", F.xxhash64(F.substring(text, 1, prefix_chars))
     )
     lengths = repeated_keys(keyed, ["fq_bytes"], bits)
-    keyed = mark_repeated(keyed, lengths, ["fq_bytes"], "fq_same_length", bits)
+    keyed = in_bitmap(keyed, lengths, ["fq_bytes"], "fq_same_length", bits)
     keys = ["fq_bytes", "fq_prefix"]
     prefixes = repeated_keys(keyed.where("fq_same_length"), keys, bits)
-    keyed = mark_repeated(keyed, prefixes, keys, "fq_same_prefix", bits)
+    keyed = in_bitmap(keyed, prefixes, keys, "fq_same_prefix", bits)
     marked = keyed.withColumn("fq_suspect", F.col("fq_same_length") & F.col("fq_same_prefix"))
     marked = marked.select(*docs.columns, "fq_suspect")
     suspects = marked.where("fq_suspect").select("doc_id", F.sha2(text, 256).alias("fq_digest"))
