@@ -1 +1 @@
-
+"""Pure functions from columns to columns."""
