@@ -92,7 +92,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as extents: an order's days from shipping on."""
     rows = read(spark, sf_dir, "lineitem")
-    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
     return rows.select(
         F.col("l_orderkey").alias("ino"),
         F.col("l_suppkey").alias("disk"),
@@ -102,8 +102,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTERVALS_SQL = """
-ivals AS (SELECT l_orderkey AS ino, l_suppkey AS disk, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS s,
-  date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + CAST(floor(l_quantity) AS BIGINT) AS e FROM lineitem)"""
+ivals AS (SELECT l_orderkey AS ino, l_suppkey AS disk, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS s,
+  date_diff('day', DATE '1995-01-01', l_shipdate::DATE) + CAST(floor(l_quantity) AS BIGINT) AS e FROM lineitem)"""
 
 
 def dentries(spark: SparkSession, sf_dir: str) -> DataFrame:
