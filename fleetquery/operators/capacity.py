@@ -42,10 +42,10 @@ def effective_capacity(disks: DataFrame, filesystem: str) -> DataFrame:
     shared = (F.col("capacity_source") == "auto-probe") & F.col(filesystem).isNotNull()
     groups = (
         disks.where(shared)
-        .groupBy(F.col(filesystem).alias("fs"))
+        .groupBy(F.col(filesystem).alias("fleet_fs"))
         .agg(F.max("capacity_bytes").alias("fs_capacity"), F.sum("used_bytes").alias("fs_used"))
     )
-    joined = disks.join(groups, shared & (F.col(filesystem) == F.col("fs")), "left")
+    joined = disks.join(groups, shared & (F.col(filesystem) == F.col("fleet_fs")), "left")
     return joined.select(
         disks["*"],
         F.coalesce("fs_capacity", "capacity_bytes").alias("effective_capacity"),

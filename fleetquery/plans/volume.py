@@ -166,13 +166,13 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "layout_lookup",
-    f"""WITH {LAYOUTS_SQL}, {BLOCKS_SQL} SELECT o_orderkey, coalesce(nullif(layout_id, ''), 'layout-0000') AS layout_id, k, m
+    f"""WITH {LAYOUTS_SQL}, {BLOCKS_SQL} SELECT o_orderkey, coalesce(nullif(layout_id, ''), 'layout-0000') AS layout_id, coalesce(k, -1) AS k, coalesce(m, -1) AS m
     FROM blocks LEFT JOIN layouts ON id = coalesce(nullif(layout_id, ''), 'layout-0000')""",
 )
 def layout_lookup(spark: SparkSession, d: str) -> DataFrame:
     of = F.coalesce(F.nullif("layout_id", F.lit("")), F.lit("layout-0000"))
     rows = _blocks(spark, d).select("o_orderkey", of.alias("layout_id"))
-    return rows.join(_layouts(spark, d).withColumnRenamed("id", "layout_id"), "layout_id", "left")
+    return rows.join(_layouts(spark, d).withColumnRenamed("id", "layout_id"), "layout_id", "left").fillna(-1, ["k", "m"])
 
 
 @query(
@@ -333,12 +333,12 @@ def extent_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "seek_data_hole",
-    f"""WITH {ISLANDS_SQL} SELECT ino, min(CASE WHEN e > 900 THEN greatest(s, 900) END) AS data,
+    f"""WITH {ISLANDS_SQL} SELECT ino, coalesce(min(CASE WHEN e > 900 THEN greatest(s, 900) END), -1) AS data,
       coalesce(max(CASE WHEN s <= 900 AND e > 900 THEN e END), 900) AS hole FROM islands GROUP BY 1""",
 )
 def seek_data_hole(spark: SparkSession, d: str) -> DataFrame:
     islands = intervals.coalesce(stand_ins.intervals(spark, d), ["ino"])
-    return intervals.next_data(islands, ["ino"], F.lit(900).cast("long"))
+    return intervals.next_data(islands, ["ino"], F.lit(900).cast("long")).fillna(-1, ["data"])
 
 
 @query(
@@ -520,21 +520,21 @@ SIZES = ["64KiB", "1_000", " 2 GB ", "5t", "x", "", "7QiB", "9999999999999999999
 
 @query(
     "parse_sizes",
-    """SELECT * FROM (VALUES ('64KiB', 65536::BIGINT), ('1_000', 1000), (' 2 GB ', 2000000000), ('5t', 5000000000000), ('x', NULL), ('', NULL),
+    """SELECT size, coalesce(bytes, -1) AS bytes FROM (VALUES ('64KiB', 65536::BIGINT), ('1_000', 1000), (' 2 GB ', 2000000000), ('5t', 5000000000000), ('x', NULL), ('', NULL),
       ('7QiB', NULL), ('9999999999999999999', NULL), ('3Mb', 3000000), ('10 b', 10), ('_', NULL), ('0x10', NULL), ('12kib', 12288)) v(size, bytes)""",
 )
 def parse_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(s,) for s in SIZES], "size string")
-    return rows.select("size", text.parse_byte_size(F.col("size")).alias("bytes"))
+    return rows.select("size", F.coalesce(text.parse_byte_size(F.col("size")), F.lit(-1)).alias("bytes"))
 
 
 @query(
     "parse_numbers",
-    "SELECT * FROM (VALUES ('755', 493::BIGINT), ('75', 75), ('0x1F', 31), ('0o17', 15), ('890', 890), ('abc', NULL), (' 0644 ', 420)) v(t, n)",
+    "SELECT t, coalesce(n, -1) AS n FROM (VALUES ('755', 493::BIGINT), ('75', 75), ('0x1F', 31), ('0o17', 15), ('890', 890), ('abc', NULL), (' 0644 ', 420)) v(t, n)",
 )
 def parse_numbers(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(s,) for s in ("755", "75", "0x1F", "0o17", "890", "abc", " 0644 ")], "t string")
-    return rows.select("t", text.parse_auto_int(F.col("t")).alias("n"))
+    return rows.select("t", F.coalesce(text.parse_auto_int(F.col("t")), F.lit(-1)).alias("n"))
 
 
 @query(

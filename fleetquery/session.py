@@ -8,7 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def session(master: str | None = None, shuffle_partitions: int | None = None, name: str = "fleetquery") -> SparkSession:
+def session(
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    name: str = "fleetquery",
+    options: dict[str, str] | None = None,
+) -> SparkSession:
     """UTC, ANSI arithmetic, adaptive execution with skew-join splitting."""
     builder = (
         SparkSession.builder.appName(name)
@@ -21,6 +26,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, na
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (options or {}).items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 

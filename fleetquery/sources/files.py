@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, relpath, size, modified of all files below ``root``.
 
-    Only the listing is read: contents are pruned from the scan.
+    Only the listing is read: contents are pruned from the scan. Spark gives
+    files without a byte no task, so they are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
