@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetquery.session import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of the driver takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fleetquery-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/fleetquery/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and
     survives the loss of any executor."""
@@ -83,8 +70,8 @@ def bitmap_of(rows: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> Data
     """Bitmaps of the slots that the rows' keys hash to: of a fixed size,
     however many rows there are."""
     slots = rows.select(_slot(keys, bits).alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("fq_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("fq_bitmap")
     )
 
 
@@ -92,6 +79,6 @@ def in_bitmap(rows: DataFrame, bitmaps: DataFrame, keys: list[str], name: str, b
     """``rows`` with a boolean ``name``: false if surely no row of
     ``bitmap_of`` has its keys."""
     slot = _slot(keys, bits)
-    marked = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
-    found = F.coalesce(bit_of(F.bitmap_bit_position(slot), F.col("bitmap")), F.lit(False))
+    marked = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("fq_bucket"), "left")
+    found = F.coalesce(bit_of(F.bitmap_bit_position(slot), F.col("fq_bitmap")), F.lit(False))
     return marked.select(*[rows[c] for c in rows.columns], found.alias(name))

@@ -79,7 +79,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents under ``path``.
 
     ``start``: ids of all documents before it. Files are in order by name;
-    their totals, one row a file, are accumulated and broadcast.
+    their totals, one row a file, are accumulated and broadcast. Rows that share
+    a doc_id count in the order of n_tokens and checksum.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     files = files.select("file", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("file_start"))
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     rows = rows.join(F.broadcast(files), "file")
     return rows.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
