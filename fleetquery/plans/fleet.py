@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetquery.functions import hashing, health
@@ -287,13 +289,8 @@ def due_actions(spark: SparkSession, d: str) -> DataFrame:
 U01_SQL = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE + 1.0) / 18446744073709551616.0"
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's stripe by every disk: disks are few, and their number is
-    checked before they are sent to all tasks."""
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"))
-    fleet = disks(spark, d).where("status = 'online'")
-    few = fleet.limit(10_001).count() <= 10_000
-    return orders.crossJoin(F.broadcast(fleet) if few else fleet)
+#: Disks up to which a fleet is broadcast whole.
+SMALL_FLEET = 10_000
 
 
 def _small_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -317,15 +314,19 @@ def stable_u01(spark: SparkSession, d: str) -> DataFrame:
     return _small_candidates(spark, d).select("stripe", "id", u.alias("u"))
 
 
-def _scored(rows: DataFrame) -> DataFrame:
-    u = hashing.stable_u01(F.lit("vol"), F.col("stripe"), F.col("id"))
-    wanted = F.when(F.col("stripe") % 3 == 0, "hot").when(F.col("stripe") % 3 == 1, "cold").otherwise("warm")
+def _score(stripe: Column, disk: Callable[[str], Column]) -> Column:
+    u = hashing.stable_u01(F.lit("vol"), stripe, disk("id"))
+    wanted = F.when(stripe % 3 == 0, "hot").when(stripe % 3 == 1, "cold").otherwise("warm")
+    near = F.when(disk("domain") % 4 != 0, disk("domain") % 2 == stripe % 2)
     score = hashing.rendezvous_score(
-        u, F.col("weight"), wanted, F.col("tier"), F.col("read_ms"), F.col("write_ms"), F.col("used_bytes"),
-        F.col("capacity_bytes"), F.when(F.col("domain") % 4 != 0, F.col("domain") % 2 == F.col("stripe") % 2),
-        F.col("stripe") % 7 == 0,
+        u, disk("weight"), wanted, disk("tier"), disk("read_ms"), disk("write_ms"), disk("used_bytes"),
+        disk("capacity_bytes"), near, stripe % 7 == 0,
     )
-    return rows.withColumn("score", F.round(score, 9))
+    return F.round(score, 9)
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", _score(F.col("stripe"), F.col))
 
 
 SCORED_SQL = f"""round(((-ln({U01_SQL.format("'vol' || chr(0) || stripe || chr(0) || id || chr(0)")}) * (1 + least((read_ms + write_ms) / 2 / 20, 4.0)))
@@ -350,7 +351,12 @@ def rendezvous_score(spark: SparkSession, d: str) -> DataFrame:
     SELECT stripe, CAST(pos AS INT) AS position, id FROM p WHERE pos < 3""",
 )
 def placement_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = placement.spread_top(_scored(_candidates(spark, d)), "stripe", "domain", "id", 3)
+    stripes = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"))
+    fleet = disks(spark, d).where("status = 'online'")
+    if fleet.limit(SMALL_FLEET + 1).count() <= SMALL_FLEET:
+        found = placement.choose_in_row(stripes, fleet, lambda x: _score(F.col("stripe"), lambda c: x[c]), "domain", "id", 3)
+    else:
+        found = placement.spread_top(_scored(stripes.crossJoin(fleet)), "stripe", "domain", "id", 3)
     return found.select("stripe", "position", "id")
 
 
