@@ -147,3 +147,50 @@ def acl_problems(entries: Column) -> Column:
     found += [F.when(F.size(F.array_distinct(ids(t))) != F.size(ids(t)), F.lit(f"{t} repeated")) for t in ("user", "group")]
     found.append(F.when((named > 0) & (count("mask") == 0), "mask needed"))
     return F.array_compact(F.array(*found))
+
+
+# Tags of the binary form, and the id that stands for none.
+BINARY_TAGS = {"user_obj": 1, "user": 2, "group_obj": 4, "group": 8, "mask": 16, "other": 32}
+BINARY_VERSION, NO_ID = 2, 0xFFFFFFFF
+
+
+def _little(value: Column, size: int) -> Column:
+    """Hexadecimal digits of a number in ``size`` bytes, lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(value, 8 * n).bitwiseAND(F.lit(255))), 2, "0") for n in range(size)])
+
+
+def _number(digits: Column, at: Column | int, size: int) -> Column:
+    first = lambda n: F.substring(digits, F.lit(at) + 1 + 2 * n, F.lit(2)) if isinstance(at, int) else F.substring(digits, at + (1 + 2 * n), F.lit(2))
+    return F.conv(F.concat(*[first(n) for n in reversed(range(size))]), 16, 10).cast("long")
+
+
+def acl_to_binary(entries: Column) -> Column:
+    """Version, then tag, bits and id of each entry, lowest bytes first."""
+    tags = F.create_map(*[F.lit(x) for pair in BINARY_TAGS.items() for x in pair])
+
+    def packed(e: Column) -> Column:
+        tag = F.element_at(tags, e["tag"]).cast("long")
+        return F.concat(_little(tag, 2), _little(e["perms"].cast("long"), 2), _little(F.coalesce(e["id"], F.lit(NO_ID)).cast("long"), 4))
+
+    return F.unhex(F.concat(_little(F.lit(BINARY_VERSION).cast("long"), 4), F.array_join(F.transform(entries, packed), "")))
+
+
+def acl_from_binary(value: Column) -> Column:
+    """Entries of the binary form; null for another version or a broken length."""
+    digits = F.hex(value)
+    count = (F.octet_length(value) / 8).cast("int")
+    names = F.create_map(*[F.lit(x) for k, v in BINARY_TAGS.items() for x in (v, k)])
+
+    def entry(n: Column) -> Column:
+        at = F.lit(8) + n * 16
+        who = _number(digits, at + 8, 4)
+        return F.struct(
+            F.try_element_at(names, _number(digits, at, 2).cast("int")).alias("tag"),
+            F.when(who != NO_ID, who).alias("id"),
+            _number(digits, at + 4, 2).cast("int").alias("perms"),
+        )
+
+    none = F.array().cast("array<struct<tag:string,id:bigint,perms:int>>")
+    held = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).otherwise(none)
+    whole = (F.octet_length(value) % 8 == 4) & (_number(digits, 0, 4) == BINARY_VERSION)
+    return F.when(whole, held)

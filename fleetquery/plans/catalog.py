@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetquery.plans import fleet, logs, streams, volume
+from fleetquery.plans import changes, fleet, logs, streams, volume
 
-QUERIES = {**fleet.QUERIES, **volume.QUERIES, **logs.QUERIES, **streams.QUERIES}
-SQL = {**fleet.SQL, **volume.SQL, **logs.SQL, **streams.SQL}
+QUERIES = {**fleet.QUERIES, **volume.QUERIES, **logs.QUERIES, **changes.QUERIES, **streams.QUERIES}
+SQL = {**fleet.SQL, **volume.SQL, **logs.SQL, **changes.SQL, **streams.SQL}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetquery.functions import access, hashing, health, text
-from fleetquery.operators import capacity, folds, integrity, intervals, logs, namespace, placement
+from fleetquery.operators import capacity, changes, folds, integrity, intervals, logs, namespace, placement
 
 NOW = 1_000_000.0
 COUNTERS = "reallocated_sectors long, pending_sectors long, crc_errors long, io_errors long, latency_ms double, wear_percent double, temperature_c double, last_smart_refresh_at double"
@@ -209,3 +209,48 @@ def test_lru(spark):
     rows = [("c", n, dt.datetime(2024, 1, 1 + n), 10) for n in range(5)]
     df = spark.createDataFrame(rows, "cache string, id int, at timestamp, size int")
     assert sorted(r.id for r in folds.lru_evicted(df, "cache", ["at", "id"], "size", 30).collect()) == [0, 1]
+
+
+def test_symlinks_are_followed(spark):
+    nodes = [("/", 0, None), ("/a", 1, None), ("/a/f", 2, None), ("/l", 3, "a"), ("/m", 4, "/l/./f"), ("/a/up", 5, "../l"), ("/loop", 6, "loop")]
+    df = spark.createDataFrame(nodes, "path string, id long, target string")
+    asked = ["/l/f", "/m", "/a/up/up/f", "/loop", "/gone", "/a/../a/f", "/"]
+    requests = spark.createDataFrame([(p,) for p in asked], "path string")
+    got = {r.path: r.resolved for r in changes.resolved(requests, df, 6).collect()}
+    assert got == {"/l/f": "/a/f", "/m": "/a/f", "/a/up/up/f": "/a/f", "/loop": None, "/gone": None, "/a/../a/f": "/a/f", "/": "/"}
+
+
+def test_upserts(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    rows = [(1, "x", 5, False), (1, "y", 4, False), (2, "z", 1, True), (4, "n", 1, True), (4, "m", 2, False)]
+    events = spark.createDataFrame(rows, "k int, v string, seq long, gone boolean")
+    got = sorted(tuple(r) for r in changes.upserted(base, events, ["k"], "seq", "gone").collect())
+    assert got == [(1, "x"), (3, "c"), (4, "m")]
+
+
+def test_missing_members_go_offline(spark):
+    disks = spark.createDataFrame([(1, "/a", "online"), (2, "/b", "online"), (3, "/c", "removed")], "id int, path string, status string")
+    seen = spark.createDataFrame([(1, "/z")], "id int, path string")
+    got = {r.id: (r.path, r.status) for r in changes.with_present_paths(disks, seen).collect()}
+    assert got == {1: ("/z", "online"), 2: ("/b", "offline"), 3: ("/c", "removed")}
+
+
+def test_small_filters(spark):
+    df = spark.createDataFrame([("a/x", 1), ("b/y", 2)], "p string, n int")
+    assert changes.optional(df, "n", None).count() == 2 and changes.optional(df, "n", 2).count() == 1
+    assert changes.under(df, "p", "a/").count() == 1
+    assert values(spark, changes.layout_id(F.col("l")), [("",), (None,), ("layout-0003",)], "l string") == ["layout-0000"] * 2 + ["layout-0003"]
+
+
+def test_binary_acl(spark):
+    import struct
+
+    spec = "u::rw-,user:70000:r-x,g::r--,m::rwx,other::---"
+    want = struct.pack("<I", 2) + b"".join(
+        struct.pack("<HHI", *e) for e in ((1, 6, 0xFFFFFFFF), (2, 5, 70000), (4, 4, 0xFFFFFFFF), (16, 7, 0xFFFFFFFF), (32, 0, 0xFFFFFFFF))
+    )
+    df = spark.createDataFrame([(spec,)], "s string").select(access.parse_acl_text(F.col("s")).alias("a"))
+    row = df.select("a", access.acl_to_binary(F.col("a")).alias("b")).select("a", "b", access.acl_from_binary(F.col("b")).alias("c")).first()
+    assert bytes(row.b) == want and row.c == row.a
+    broken = [(bytearray(want[:-1]),), (bytearray(b"\x01" + want[1:]),), (bytearray(want[:4]),)]
+    assert values(spark, access.acl_from_binary(F.col("b")), broken, "b binary") == [None, None, []]
