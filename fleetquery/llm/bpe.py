@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetquery.llm.common import table
-from fleetquery.llm.tokens import REMEMBERED, in_blocks
+from fleetquery.llm.tokens import REMEMBERED, byte_characters, in_blocks
 
 #: Longest word, in bytes, that is scanned.
 SCANNED = 512
@@ -41,14 +41,6 @@ _PLAIN_WORD = re.compile(
 )
 
 
-def byte_characters() -> list[str]:
-    """The printable character by which byte-level vocabularies name each byte:
-    printable Latin-1 stands for itself, the rest follow from 256 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class Codec:
     """Encodes as the tokenizers library does without special tokens added;
     their strings in a text give their ids."""

@@ -82,3 +82,26 @@ def in_bitmap(rows: DataFrame, bitmaps: DataFrame, keys: list[str], name: str, b
     marked = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("fq_bucket"), "left")
     found = F.coalesce(bit_of(F.bitmap_bit_position(slot), F.col("fq_bitmap")), F.lit(False))
     return marked.select(*[rows[c] for c in rows.columns], found.alias(name))
+
+
+#: Rows from which a key counts as hot, and the parts it is dealt to.
+HOT_ROWS, HOT_PARTS = 500, 32
+
+
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, group_key: str, size: str) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (one row a key, ``size`` rows each).
+
+    Keys of more than HOT_ROWS rows are dealt to HOT_PARTS parts: their group
+    is repeated for each part and their rows spread over them at random by
+    doc_id. Which keys are hot travels as a bitmap of fixed size; a key that
+    shares a bit with a hot one is dealt in the same way on both sides.
+    """
+    hot = bitmap_of(groups.where(F.col(size) > HOT_ROWS).select(F.col(group_key).alias(key)), [key])
+    left = in_bitmap(rows, hot, [key], "fq_hot")
+    right = in_bitmap(groups.withColumn(key, F.col(group_key)), hot, [key], "fq_hot").drop(key)
+    part = F.when(F.col("fq_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))).otherwise(0)
+    left = left.withColumn("fq_part", part.cast("int")).drop("fq_hot")
+    parts = F.when(F.col("fq_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("fq_of_part", F.explode(parts)).drop("fq_hot")
+    joined = left.join(right, (F.col(key) == F.col(group_key)) & (F.col("fq_part") == F.col("fq_of_part")), "left")
+    return joined.drop("fq_part", "fq_of_part")

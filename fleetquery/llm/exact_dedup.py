@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetquery.llm.common import FILTER_BITS, bitmap_of, in_bitmap, table
+from fleetquery.llm.common import FILTER_BITS, bitmap_of, in_bitmap, join_groups, table
 
 PREFIX_CHARS = 64
 
@@ -60,7 +60,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     marked, groups = refine(docs.select("doc_id", "text"))
     rows = marked.select("doc_id", "fq_suspect", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    rows = rows.join(groups, F.col("text_sha256") == F.col("fq_digest"), "left")
+    rows = join_groups(rows, "text_sha256", groups, "fq_digest", "fq_size")
     keep = F.coalesce("fq_keep", "doc_id")
     return rows.select(
         "doc_id",
@@ -78,7 +78,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     marked, groups = refine(docs)
     lone = marked.where(~F.col("fq_suspect")).select(*docs.columns)
     rows = marked.where("fq_suspect").withColumn("fq_own", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(groups, F.col("fq_own") == F.col("fq_digest"), "left")
+    rows = join_groups(rows, "fq_own", groups, "fq_digest", "fq_size")
     stays = rows.where(F.col("fq_digest").isNull() | F.col("fq_keep").eqNullSafe(F.col("doc_id")))
     single = stays.where(F.coalesce("fq_ties", F.lit(1)) == 1).select(*docs.columns)
     tied = stays.where("fq_ties > 1").dropDuplicates(["fq_digest"]).select(*docs.columns)

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_sharding": sharding.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

@@ -52,3 +52,29 @@ def balanced_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected polynomial 0xEDB88320, by its rule."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+OP6_SQL = f"""
+WITH k AS MATERIALIZED (SELECT {_crc_table()}::UINTEGER[] AS k),
+b AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + {ROW_OVERHEAD} AS BIGINT) AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UINTEGER) AS bytes
+      FROM documents),
+s AS (SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, bytes),
+        lambda a, x: xor(a >> 8, k[xor(a, x) % 256 + 1])), 4294967295::UINTEGER) AS BIGINT) AS text_crc32 FROM b, k),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY doc_id, text_crc32, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM s),
+p AS (SELECT *, CAST(least(39, ((2 * before + size) * 40) // (2 * total)) AS INT) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot,
+       CAST(NULL AS INT) AS grown_shard, before AS offset_bytes
+FROM p
+"""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetquery.llm.common import table, written
+from fleetquery.llm.common import join_groups, table, written
 from fleetquery.llm.graph import components
 
 #: Fingerprints in one BK-tree at most.
@@ -167,14 +167,14 @@ def near_components(marked: DataFrame, radius: int) -> DataFrame:
     Copies meet in their fingerprint before any linking; component_id is the
     least doc_id that links reach.
     """
-    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fps")
+    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "fps")
     roots = components(links(fps, radius))
     linked = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "first_doc")
     ids = linked.groupBy("root").agg(F.min("first_doc").alias("component"))
     linked = linked.join(ids, "root").select(F.col("node").alias("linked_fp"), "component")
     named = fps.join(linked, F.col("fp") == F.col("linked_fp"), "left")
-    named = named.select(F.col("fp").alias("named_fp"), F.coalesce("component", "first_doc").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("named_fp")).select("doc_id", "fp", "component_id")
+    named = named.select(F.col("fp").alias("named_fp"), F.coalesce("component", "first_doc").alias("component_id"), "copies")
+    return join_groups(marked, "fp", named, "named_fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

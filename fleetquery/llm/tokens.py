@@ -9,53 +9,90 @@ a table of bounded size and hand only words that are not in it to the library.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words a worker remembers before it begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 _LETTERS = "a-zß-öø-ſ"
 #: Texts of these characters only are the same in NFC, in lower case their
 #: letters are ``_LETTERS``, and the white space among them is ASCII.
 _OTHER = re.compile("[^\t-\r -~«»À-ÖØ-öø-įı-ſ–—‘-”…]")
+_BETWEEN_SPACE = re.compile("[^\t-\r ]+").findall
+#: What str.split takes for white space, but ASCII's own.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
+def byte_characters() -> list[str]:
+    """The printable character by which byte-level vocabularies name each byte:
+    printable Latin-1 stands for itself, the rest follow from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class WordTable(dict):
+    """Packed ids of words, found when first asked for. Its size is bounded:
+    what one generation did not meet is forgotten when the next is full."""
+
+    def __init__(self, encode: Callable[[str], bytes], size: int = REMEMBERED) -> None:
+        super().__init__()
+        self.encode, self.size, self.old = encode, size, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.size // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library for a tokenizer that lower-cases, drops
-    white space and cuts words at classes of characters."""
+    """Ids by the tokenizers library for a byte-level tokenizer that
+    lower-cases, drops white space and cuts words at classes of characters.
+
+    Nothing reaches across ASCII white space: normal forms, words and special
+    strings all end there, so each chunk between it is encoded alone. Words of
+    plain chunks are in the form that the library's own steps before the
+    merges would give them, so they go to the library's model directly; all
+    other chunks go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.controls = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        model, named = self.library.model, dict(enumerate(byte_characters()))
+
+        def word_ids(word: str) -> bytes:
+            found = model.tokenize(word.encode().decode("latin-1").translate(named))
+            return np.array([t.id for t in found], "<u4").tobytes()
+
+        def chunk_ids(chunk: str) -> bytes:
+            if _OTHER.search(chunk) or any(c in chunk for c in self.controls):
+                found = self.library.encode(chunk, add_special_tokens=False)
+                return np.array(found.ids, "<u4").tobytes()
+            return b"".join(map(self.words.__getitem__, _WORD.findall(chunk.lower())))
 
-    def words(self, text: str) -> list[str]:
-        """Pieces that the tokenizer encodes apart from each other."""
-        if _OTHER.search(text) or any(c in text for c in self.controls):
-            # at ASCII white space only: what is between goes to the library as it is
-            return re.split("[\t-\r ]+", text)
-        return _WORD.findall(text.lower())
+        self.words, self.chunks = WordTable(word_ids), WordTable(chunk_ids)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.words(x) for x in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set().union(*cut))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        self.words.trim()
+        self.chunks.trim()
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, _BETWEEN_SPACE(x) if _ODD_SPACE.search(x) else x.split())) for x in texts]
 
 
 @lru_cache(maxsize=4)
