@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetquery.llm.common import table
-from fleetquery.llm.tokens import REMEMBERED, byte_characters, in_blocks
+from fleetquery.llm.tokens import byte_characters, in_blocks
 
 #: Longest word, in bytes, that is scanned.
 SCANNED = 512
+#: Distinct words a worker remembers before it begins anew.
+REMEMBERED = 250_000
 _NONE = np.iinfo(np.int64).max
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(

@@ -4,19 +4,21 @@
 The tokenizer drops white space and merges inside words only, so a text's ids
 are those of its words one after the other; workers keep the ids of words in
 a table of bounded size and hand only words that are not in it to the library.
+Texts of plain characters are cut into words at once, all others first at
+white space.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words a worker remembers before it begins anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 _LETTERS = "a-zß-öø-ſ"
 #: Texts of these characters only are the same in NFC, in lower case their
@@ -61,11 +63,11 @@ class LibraryEncoder:
     """Ids by the tokenizers library for a byte-level tokenizer that
     lower-cases, drops white space and cuts words at classes of characters.
 
-    Nothing reaches across ASCII white space: normal forms, words and special
-    strings all end there, so each chunk between it is encoded alone. Words of
-    plain chunks are in the form that the library's own steps before the
-    merges would give them, so they go to the library's model directly; all
-    other chunks go through the whole library.
+    Words of plain texts are in the form that the library's own steps before
+    the merges would give them, so they go to the library's model directly. In
+    other texts nothing reaches across ASCII white space: normal forms, words
+    and special strings all end there, so each chunk between it is encoded
+    alone, by its words if it is plain and else by the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,26 +75,35 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.controls = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        model, named = self.library.model, dict(enumerate(byte_characters()))
+        self.words, self.chunks = WordTable(self._word), WordTable(self._chunk)
+        self._names = dict(enumerate(byte_characters()))
 
-        def word_ids(word: str) -> bytes:
-            found = model.tokenize(word.encode().decode("latin-1").translate(named))
-            return np.array([t.id for t in found], "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(self._names)
+        return array("I", [t.id for t in self.library.model.tokenize(named)]).tobytes()
 
-        def chunk_ids(chunk: str) -> bytes:
-            if _OTHER.search(chunk) or any(c in chunk for c in self.controls):
-                found = self.library.encode(chunk, add_special_tokens=False)
-                return np.array(found.ids, "<u4").tobytes()
-            return b"".join(map(self.words.__getitem__, _WORD.findall(chunk.lower())))
+    def _chunk(self, chunk: str) -> bytes:
+        if self._plain(chunk):
+            return self._by_words(chunk)
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-        self.words, self.chunks = WordTable(word_ids), WordTable(chunk_ids)
+    def _plain(self, text: str) -> bool:
+        return not _OTHER.search(text) and not any(c in text for c in self.controls)
+
+    def _by_words(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
+
+    def _text(self, text: str) -> bytes:
+        if self._plain(text):
+            return self._by_words(text)
+        chunks = _BETWEEN_SPACE(text) if _ODD_SPACE.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         self.words.trim()
         self.chunks.trim()
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, _BETWEEN_SPACE(x) if _ODD_SPACE.search(x) else x.split())) for x in texts]
+        return [self._text(x) for x in texts]
 
 
 @lru_cache(maxsize=4)
