@@ -7,6 +7,11 @@ labelled texts gives landmarks; the Nyström map sends a text's kernel row to
 features in which one ridge regression a language separates it from the rest.
 Landmark rows, map and regression are linear in the presence of n-grams, so
 they fold into one matrix, and a batch of texts is scored by one product.
+
+A text in a language that was not learned scores about as one that shares no
+n-gram with the model (0.5), and few of its n-grams are known. Which scores
+and shares are too low is read off the labelled sample itself, each half of it
+judged by a model of the other half.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ SAMPLE_CHARS = 20_000
 #: Of those, texts that serve as landmarks.
 LANDMARKS = 48
 RIDGE = 0.01
+#: Part of the labelled texts that may fall under each limit of ``limits``.
+LOW_PART = 0.005
 NGRAM = 3
 _BITS = 21  # a code point plus one fits
 _BLOCK = 1 << 20
@@ -57,6 +64,10 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """A regression value for each text and language."""
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``score``, and the share of each text's n-grams that is known."""
         rows, columns, norms = [], [], []
         for n, text in enumerate(texts):
             own = grams(text)
@@ -70,7 +81,8 @@ class Model:
         filled, first = np.unique(row, return_index=True)
         if len(filled):  # the product of the presence matrix and the weights
             out[filled] = np.add.reduceat(self.weights[column], first, axis=0)
-        return out / np.sqrt(np.array(norms))[:, None]
+        shares = np.array([len(at) for at in columns]) / np.array(norms)
+        return out / np.sqrt(np.array(norms))[:, None], shares
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -105,6 +117,33 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     return Model(languages, codes, presence @ (nystrom @ solved))
 
 
+def scores_of(values: np.ndarray) -> np.ndarray:
+    """Where the best value lies between "all other" (0) and "this language" (1)."""
+    return np.clip((values.max(1) + 1) / 2, 0, 1)
+
+
+def limits(sample: list[tuple[str, str]], part: float = LOW_PART) -> tuple[float, float]:
+    """Score and share of known n-grams under which a text is of no learned
+    language: the low quantiles of the sample, judged by halves. A language
+    with a single text has no other half and says nothing; without any other,
+    nothing can be told and both limits are 0."""
+    seen: dict[str, int] = {}
+    halves: tuple[list, list] = ([], [])
+    for text, lang in sample:
+        seen[lang] = seen.get(lang, 0) + 1
+        halves[seen[lang] % 2].append((text, lang))
+    scores, shares = [np.zeros(0)], [np.zeros(0)]
+    for own, other in (halves, halves[::-1]):
+        texts = [text for text, lang in own if seen[lang] > 1 and any(map(str.isalpha, text))]
+        model = fit(other)
+        for at in range(0, len(texts), 64):
+            values, known = model.judge(texts[at : at + 64])
+            scores.append(scores_of(values))
+            shares.append(known)
+    every = np.concatenate(scores), np.concatenate(shares)
+    return tuple(float(np.quantile(x, part)) if len(x) else 0.0 for x in every)
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
@@ -147,18 +186,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
                 values = known.score([texts[n] for n in part])
-                for n, own in zip(part, values):
-                    best = int(own.argmax())
-                    preds[n] = known.languages[best]
-                    scores[n] = float(min(1.0, max(0.0, (own[best] + 1) / 2)))
+                for n, own, score in zip(part, values, scores_of(values)):
+                    preds[n] = known.languages[int(own.argmax())]
+                    scores[n] = float(score)
             columns = [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """``docs`` without rows whose language is unknown or scores under ``least``."""
+def keep_identified(docs: DataFrame, model: Model, least: float, share: float = np.inf) -> DataFrame:
+    """``docs`` without rows whose language is unknown, or that score under
+    ``least`` while less than ``share`` of their n-grams are known. Very short
+    texts of a learned language score low, but hardly hold unknown n-grams;
+    long ones hold some, but score high."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -168,7 +209,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
         rows = [n for n, x in enumerate(texts) if x and model.languages and any(map(str.isalpha, x))]
         for at in range(0, len(rows), 64):
             part = rows[at : at + 64]
-            out[part] = (model.score([texts.iloc[n] for n in part]).max(1) + 1) / 2 >= least
+            values, shares = model.judge([texts.iloc[n] for n in part])
+            out[part] = (scores_of(values) >= least) | (shares >= share)
         import pandas as pd
 
         return pd.Series(out)

@@ -267,6 +267,25 @@ def test_language_id(spark, small, docs, empty):
     assert kept.columns == docs.columns and not {1, 2, 3, 13} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_stage_drops_what_was_not_learned(spark, small):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    odd = [
+        "Съешь же ещё этих мягких французских булок да выпей чаю. " * 4, "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往" * 9,
+        "Η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί. ISO 9001", letters(1000, "0123456789abcdef"),
+        letters(900, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        *(" ".join(letters(int(n), "abcdefghijklmnopqrstuvwxyz") for n in rng.integers(2, 10, m)) for m in (40, 400, 4000)),
+    ]
+    held = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rows = spark.createDataFrame([(-1 - n, x, None) for n, x in enumerate(odd)], held.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, held.unionByName(rows), small).collect()}
+    lettered = {r.doc_id for r in held.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert min(kept) >= 0 and len(lettered - kept) <= 0.01 * len(lettered)
+    assert language_id.limits([]) == (0.0, 0.0) == language_id.limits([("one text", "a")])
+
+
 def test_language_id_kernel_is_exact():
     sample = [("abab", "a"), ("bcbc", "b"), ("abcab", "a"), ("cbcb", "b")]
     model = language_id.fit(sample, landmarks=2, ridge=1e-6)
