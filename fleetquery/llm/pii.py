@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data (operator 2, native).
 
 Patterns find what is protected: addresses, cards and phone numbers. The
-corpus then says which other terms give them away. Of an entity c and a term t
-that stands near it, N documents tell p(c), p(t) and p(c, t); t reveals
-log2(p(c, t) / (p(c) p(t))) of the log2(1 / p(c)) bits that c holds. A term
-that reveals more than a share of them, and does so in more than one context,
-is removed along with the entity. Context is counted once however often it is
-copied, since copies say nothing new. All of it is DataFrame operations.
+corpus then says which other terms give them away. Of an entity c and a term t,
+N different texts tell p(c) and p(c | t); t reveals log2(p(c | t) / p(c)) of
+the log2(1 / p(c)) bits that c holds. A term that reveals more than a share of
+them for any entity is removed wherever it stands, in all texts. Counts are of
+different texts, since copies say nothing new, and p(c | t) is estimated with
+absolute discounting: a part of each pair's meetings is put down to chance, so
+that pairs which met once are judged by the same measure. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetquery.llm.common import table, written
+from fleetquery.llm.common import bitmap_of, in_bitmap, join_groups, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters on either side of an entity in which terms are read.
-CONTEXT_CHARS = 60
 #: Share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
-#: Different contexts in which entity and term must meet.
-CONTEXTS = 2
+#: Meetings of each entity and term that are put down to chance (the usual
+#: discount of Kneser and Ney).
+DISCOUNT = 0.75
+#: Slots, as a power of 2, of the bitmap of disclosing terms: 8 MB.
+TERM_BITS = 26
 
 # Each matches what the plain pattern of its kind does, with possessive
 # repeats and a fixed place to begin, so that long runs take linear time.
@@ -131,77 +134,117 @@ def entities(spans: str) -> Column:
     return F.concat(*each)
 
 
-def contexts(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, entity, context (a hash), term, start, end for each word near a
-    base span. ``rows``: key columns, fq_text, fq_base. Words that a context's
-    edge may cut, and words inside base spans, are left out."""
-    each = rows.select(*key, "fq_text", entities("fq_base").alias("all"), F.explode(entities("fq_base")).alias("own"))
-    begin = F.greatest(F.col("own.start") - CONTEXT_CHARS, F.lit(0))
-    left = F.substring(F.col("fq_text"), begin + 1, F.col("own.start") - begin)
-    right = F.substring(F.col("fq_text"), F.col("own.end") + 1, F.lit(CONTEXT_CHARS))
-    each = each.select(*key, "all", "own", begin.alias("begin"), left.alias("left"), right.alias("right"))
-    each = each.withColumn("context", F.xxhash64("left", "right"))
-    sides = F.concat(
-        F.transform(
-            F.filter(placed(F.col("left"), _WORD), lambda w: (F.col("begin") == 0) | (w["start"] > 0)),
-            lambda w: F.struct(w["match"].alias("word"), (F.col("begin") + w["start"]).alias("start")),
-        ),
-        F.transform(
-            F.filter(placed(F.col("right"), _WORD), lambda w: w["end"] < CONTEXT_CHARS),
-            lambda w: F.struct(w["match"].alias("word"), (F.col("own.end") + w["start"]).alias("start")),
-        ),
-    )
-    words = each.select(*key, "all", F.col("own.entity").alias("entity"), "context", F.explode(sides).alias("w"))
-    end = F.col("w.start") + F.length("w.word")
-    clear = ~F.exists("all", lambda s: (s["start"] < end) & (s["end"] > F.col("w.start")))
-    words = words.where(clear)
-    return words.select(*key, "entity", "context", F.lower("w.word").alias("term"), F.col("w.start").alias("start"), end.alias("end"))
+KEY = ["fq_id", "fq_hash"]
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, key: list[str]) -> DataFrame:
-    """entity, term, reveals: the pairs at or above the disclosure threshold.
+def _read(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("fq_text", text).withColumn("fq_id", F.col("doc_id")).withColumn("fq_hash", F.xxhash64(text))
 
-    Counts are of documents, over all of ``docs``; a word of a document counts
-    once. Pairs are few: each span has a bounded context.
-    """
-    total = docs.agg(F.count("*").alias("n"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("fq_text"), r"[^\p{L}]+"))).alias("term"))
-    terms = words.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = near.select("entity", "term", "context", *key).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct(*key)).alias("n_both")
-    )
-    pairs = pairs.where(F.col("contexts") >= CONTEXTS)
-    holders = near.select("entity", *key).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counted = pairs.join(holders, "entity").join(terms, "term").join(F.broadcast(total))
-    mutual = F.log2(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    held = F.log2(F.col("n") / F.col("n_entity"))
-    counted = counted.where("n > n_entity").withColumn("reveals", mutual / held)
-    return counted.where(F.col("reveals") >= DISCLOSURE).select("entity", "term", "reveals")
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """``KEY``, entities and terms of ``rows`` (KEY, fq_text): hashes of what
+    its base spans name, and its words in lower case; each counts once."""
+    rows = base_spans(rows, "fq_text", "fq_base")
+    words = F.transform(F.regexp_extract_all("fq_text", F.lit(_WORD), F.lit(0)), F.lower)
+    named = F.array_distinct(F.transform(entities("fq_base"), lambda x: x["entity"]))
+    return rows.select(*KEY, named.alias("entities"), F.array_distinct(words).alias("terms"))
 
-KEY = ["fq_id", "fq_hash"]
 
+def _different(rows: DataFrame) -> DataFrame:
+    """One row of each text; only rows whose text may repeat are shuffled."""
+    repeated = rows.groupBy("fq_hash").count().where("count > 1")
+    marked = in_bitmap(rows, bitmap_of(repeated, ["fq_hash"]), ["fq_hash"], "fq_maybe")
+    once = marked.where(~F.col("fq_maybe")).select(*rows.columns)
+    return once.unionByName(marked.where("fq_maybe").select(*rows.columns).dropDuplicates(["fq_hash"]))
 
-def _read(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("fq_text", text).withColumn("fq_id", F.col("doc_id")).withColumn("fq_hash", F.xxhash64(text))
 
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """term: those at or above the disclosure threshold for any entity.
+
+    ``rows``: as ``tokenised``. Entities that stand in the same texts have the
+    same pairs and are counted as one, so a text with many addresses gives its
+    terms once. A pair that cannot reach the threshold, since even a meeting
+    in each of the entity's texts is too little, is never made.
+    """
+    n = rows.select("fq_hash").distinct().count()
+    counts = _different(rows.select("fq_hash", "terms")).select(F.explode("terms").alias("group_term"))
+    counts = counts.groupBy("group_term").agg(F.count("*").alias("n_term"))
+    held = rows.where(F.size("entities") > 0).dropDuplicates(["fq_hash"])
+    held = written(held.select(F.col("fq_hash").alias("doc_id"), "entities", "terms"), "pii-holding")
+    named = held.select("doc_id", F.explode("entities").alias("entity"))
+    sets = named.groupBy(F.col("entity").alias("group_entity")).agg(
+        F.count("*").alias("n_entity"),
+        *[F.bit_xor(F.xxhash64(F.lit(i), "doc_id")).alias(f"set_{i}") for i in range(2)],
+    )
+    members = join_groups(named, "entity", sets, "group_entity", "n_entity")
+    members = members.select("doc_id", "n_entity", "set_0", "set_1").where(F.col("n_entity") < n).distinct()
+    words = held.select("doc_id", F.explode("terms").alias("term"))
+    words = join_groups(words, "term", counts, "group_term", "n_term").select("doc_id", "term", "n_term")
+    least = F.pow(F.col("n_entity") / F.lit(float(n)), F.lit(1 - DISCLOSURE))
+    able = F.col("n_entity") >= F.col("n_term") * least * (1 - 1e-9)
+    pairs = words.join(members, "doc_id").where(able)
+    pairs = pairs.groupBy("n_entity", "set_0", "set_1", "term", "n_term").agg(F.count("*").alias("n_both"))
+    chance = F.col("n_entity") / F.lit(float(n))
+    given = (F.col("n_both") - DISCOUNT + DISCOUNT * chance) / F.col("n_term")
+    reveals = F.log2(given / chance) / F.log2(1 / chance)
+    return pairs.where(reveals >= DISCLOSURE).select("term").distinct()
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    """fq_id_of, fq_hash_of, fq_told (an array of terms) of all documents
+    that hold disclosing terms."""
+    rows = written(tokenised(docs.select(*KEY, "fq_text")), "pii-terms")
+    terms = written(disclosing_terms(rows), "pii-disclosing")
+    words = rows.select(*KEY, F.explode("terms").alias("term"))
+    words = in_bitmap(words, bitmap_of(terms, ["term"], TERM_BITS), ["term"], "fq_maybe", TERM_BITS).where("fq_maybe")
+    words = written(words.select(*KEY, "term"), "pii-words")
+    sizes = words.groupBy("term").agg(F.count("*").alias("rows"))
+    sizes = sizes.join(terms, "term").select(F.col("term").alias("group_term"), "rows")
+    found = join_groups(words.withColumn("doc_id", F.xxhash64(*KEY)), "term", sizes, "group_term", "rows")
+    found = found.where(F.col("group_term").isNotNull()).groupBy(*KEY).agg(F.collect_set("term").alias("fq_told"))
+    return written(found.withColumnsRenamed({k: f"{k}_of" for k in KEY}), "pii-told")
+
+
+def _places(text: Column, told: Column, base: Column) -> Column:
+    """Spans of all words of ``text`` that are told, outside base spans. The
+    base spans travel in the state, so that they are found once, not for each
+    word."""
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    pairs = F.zip_with(
+        F.slice(F.split(text, _WORD, -1), 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))
+    )
+
+    def add(held: Column, x: Column) -> Column:
+        start = held["at"] + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lower(x["match"]).alias("match"))
+        clear = ~F.exists(held["base"], lambda s: (s["start"] < end) & (s["end"] > start))
+        more = F.when(F.array_contains(told, F.lower(x["match"])) & clear, F.concat(held["spans"], F.array(span)))
+        return F.struct(end.alias("at"), F.coalesce(more, held["spans"]).alias("spans"), held["base"].alias("base"))
 
-def _term_spans(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """fq_id, fq_hash, fq_terms of the documents with disclosing terms."""
-    near = written(contexts(base, KEY), "pii-contexts")
-    told = disclosing_terms(docs, near, KEY)
-    spans = near.join(told, ["entity", "term"]).groupBy(*KEY)
-    spans = spans.agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("match")))).alias("fq_terms"))
-    return spans.withColumnsRenamed({k: f"{k}_of" for k in KEY})
+    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"), base.alias("base"))
+    return F.aggregate(pairs, start, add, lambda held: held["spans"])
 
 
-def _with_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    on = [rows[k].eqNullSafe(spans[f"{k}_of"]) for k in KEY]
-    joined = rows.join(spans, on[0] & on[1], "left")
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
-    return joined.select(*rows.columns, F.coalesce("fq_terms", empty).alias("fq_terms"))
+def _no_spans() -> Column:
+    return F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (KEY, fq_text and others) with fq_base and fq_terms. Documents
+    that surely hold no disclosing term take no part in the join."""
+    told = _told(docs)
+    bits = bitmap_of(told.select(*[F.col(f"{k}_of").alias(k) for k in KEY]), KEY)
+    marked = in_bitmap(docs, bits, KEY, "fq_maybe")
+    clear = marked.where(~F.col("fq_maybe")).select(*docs.columns)
+    clear = base_spans(clear, "fq_text", "fq_base").withColumn("fq_terms", _no_spans())
+    rows = marked.where("fq_maybe").select(*docs.columns)
+    rows = rows.join(told, rows["fq_id"].eqNullSafe(told["fq_id_of"]) & (rows["fq_hash"] == told["fq_hash_of"]), "left")
+    rows = base_spans(rows.select(*docs.columns, "fq_told"), "fq_text", "fq_base")
+    places = _places(F.col("fq_text"), F.col("fq_told"), entities("fq_base"))
+    rows = rows.withColumn("fq_terms", F.when(F.col("fq_told").isNotNull(), places).otherwise(_no_spans()))
+    return clear.unionByName(rows.drop("fq_told"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -211,11 +254,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     apart by their texts. An empty table gives no rows. Spans are by kind in
     the order of KINDS, then terms; places are code points, ends exclusive.
     """
-    read = _read(docs.select("doc_id", "text")).drop("text", "doc_id")
-    holding = base_spans(read, "fq_text", "fq_base").where(F.size(entities("fq_base")) > 0)
-    terms = _term_spans(read, holding.select(*KEY, "fq_text", "fq_base"))
-    rows = base_spans(read, "fq_text", "fq_base").drop("fq_text")
-    rows = _with_terms(rows, terms).withColumn("fq_all", F.struct("fq_base.*", F.col("fq_terms").alias(TERM)))
+    rows = _with_spans(_read(docs.select("doc_id", "text")).drop("text", "doc_id")).drop("fq_text")
+    rows = rows.withColumn("fq_all", F.struct("fq_base.*", F.col("fq_terms").alias(TERM)))
     return rows.select(
         F.col("fq_id").alias("doc_id"),
         *[F.size(f"fq_base.{k}").cast("long").alias(f"n_{k}") for k in KINDS],
@@ -249,17 +289,13 @@ def _rewritten(text: Column, base: str, terms: str) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``.
 
-    Rows without personal data pass as they are and take no part in any
-    shuffle; all columns but text stay the same.
+    Rows without personal data and disclosing terms pass as they are and
+    take no part in the join; all columns but text stay the same.
     """
-    marked = base_spans(_read(docs), "fq_text", "fq_base")
-    holding = marked.where(F.size(entities("fq_base")) > 0)
-    terms = _term_spans(_read(docs), holding.select(*KEY, "fq_text", "fq_base"))
-    clean = marked.where(F.size(entities("fq_base")) == 0).select(*docs.columns)
-    rows = _with_terms(holding, terms)
-    text = _rewritten(F.col("fq_text"), "fq_base", "fq_terms")
-    rows = rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    return clean.unionByName(rows)
+    rows = _with_spans(_read(docs))
+    found = (F.size(entities("fq_base")) > 0) | (F.size("fq_terms") > 0)
+    text = F.when(found, _rewritten(F.col("fq_text"), "fq_base", "fq_terms")).otherwise(F.col("text"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

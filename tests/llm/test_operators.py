@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on awkward documents."""
 
 import hashlib
+import math
 import re
 import zlib
 from itertools import pairwise
@@ -251,6 +252,50 @@ def test_a_term_in_copies_alone_is_kept(spark):
     assert {r.text for r in out} == {"Agent Zorblax wrote [EMAIL] today here"}
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{''.join(rng.choice(list('abcdefgh'), 4))}" for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(5, 60))) for _ in range(1500)]
+    for n in range(0, 300, 3):  # own and shared addresses, with a shared name and one of its own
+        texts[n] += f" Own{vocabulary[n]}q own{n}@y.org mail{n // 6}@x.org " + " ".join(rng.choice(vocabulary, 12)) + f" Zorb{vocabulary[n // 6]}"
+    texts[600] += f" zorb{vocabulary[3]} far from any address"  # the name without the address
+    texts += texts[:40] + ["mail7@x.org and mail8@x.org"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    email = re.compile(r"[\w.]+@[\w.]+")
+    different = sorted(set(texts))
+    n = len(different)
+    words = [{w.lower() for w in re.findall(r"[a-zA-Z]{3,}", x)} for x in different]
+    named = [set(email.findall(x)) for x in different]
+    holds, met, stands = {}, {}, {}
+    for own, ws in zip(named, words):
+        for w in ws:
+            stands[w] = stands.get(w, 0) + 1
+        for c in own:
+            holds[c] = holds.get(c, 0) + 1
+            for w in ws:
+                met[c, w] = met.get((c, w), 0) + 1
+
+    def reveals(c, w):
+        p = holds[c] / n
+        return math.log2((met[c, w] - 0.75 + 0.75 * p) / stands[w] / p) / math.log2(1 / p)
+
+    told = {w for c, w in met if reveals(c, w) >= 0.8}
+    once = {w for c, w in met if reveals(c, w) >= 0.8 and met[c, w] == 1}
+    assert once and told - once
+    want = {}
+    for d, x in enumerate(texts):
+        inside = [m.span() for m in email.finditer(x)]
+        want[d] = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[a-zA-Z]{3,}", x)
+                   if m.group().lower() in told and not any(a < m.end() and b > m.start() for a, b in inside)]
+    got = pii.find_spans(rows).collect()
+    assert len(got) == len(texts) and want[600]
+    for r in got:
+        assert [s for s in r.spans.split(",") if s.startswith("term")] == want[r.doc_id] and r.n_term == len(want[r.doc_id])
+    out = {r.doc_id: r.text for r in pii.sanitise(rows).collect()}
+    assert f"zorb{vocabulary[3]}" not in out[600] and "[TERM] far from any address" in out[600]
+    assert all(out[d] == texts[d] for d in want if not want[d] and "@" not in texts[d])
+
+
 def test_language_id(spark, small, docs, empty):
     held = spark.read.parquet(f"{small}/documents.parquet")
     model = language_id.fit(language_id.labelled_sample(held))
