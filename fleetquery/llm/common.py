@@ -19,7 +19,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     survives the loss of any executor."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -170,6 +170,13 @@ def _different(rows: DataFrame) -> DataFrame:
     return once.unionByName(marked.where("fq_maybe").select(*rows.columns).dropDuplicates(["fq_hash"]))
 
 
+def _only(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with a column term, but for those surely not of ``terms``."""
+    bits = bits_for(terms.count())
+    marked = in_bitmap(rows, bitmap_of(terms.select("term"), ["term"], bits), ["term"], "fq_maybe", bits)
+    return marked.where("fq_maybe").select(*rows.columns)
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame:
     """term, anywhere: those at or above the disclosure threshold for any
     entity, and whether they go in texts without personal data too.
@@ -183,8 +190,9 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     held = rows.where(F.size("entities") > 0).dropDuplicates(["fq_hash"])
     held = written(held.select(F.col("fq_hash").alias("doc_id"), "entities", "terms"), "pii-holding")
     own = held.select("doc_id", F.explode("terms").alias("term"))
-    counts = _different(rows.select("fq_hash", "terms")).select(F.explode("terms").alias("group_term"))
-    counts = counts.groupBy("group_term").agg(F.count("*").alias("n_term"))
+    every = _different(rows.select("fq_hash", "terms")).select(F.explode("terms").alias("term"))
+    counts = _only(every, own.select("term").distinct()).withColumnRenamed("term", "group_term")
+    counts = written(counts.groupBy("group_term").agg(F.count("*").alias("n_term")), "pii-counts")
     named = held.select("doc_id", F.explode("entities").alias("entity"))
     sets = named.groupBy(F.col("entity").alias("group_entity")).agg(
         F.count("*").alias("n_entity"),
@@ -208,11 +216,8 @@ def told_terms(rows: DataFrame) -> DataFrame:
     among ``rows`` (as ``scanned``) that hold terms which go there."""
     terms = written(disclosing_terms(rows), "pii-disclosing")
     holds = F.size("entities") > 0
-    own = rows.where(holds).select(*KEY, F.explode("terms").alias("term"))
-    bits = bits_for(terms.where("anywhere").count())
-    others = rows.where(~holds).select(*KEY, F.explode("terms").alias("term"))
-    others = in_bitmap(others, bitmap_of(terms.where("anywhere"), ["term"], bits), ["term"], "fq_maybe", bits)
-    others = others.where("fq_maybe").drop("fq_maybe")
+    own = _only(rows.where(holds).select(*KEY, F.explode("terms").alias("term")), terms)
+    others = _only(rows.where(~holds).select(*KEY, F.explode("terms").alias("term")), terms.where("anywhere"))
     all_words = own.withColumn("holds", F.lit(True)).unionByName(others.withColumn("holds", F.lit(False)))
     all_words = written(all_words, "pii-words")
     sizes = all_words.groupBy("term").agg(F.count("*").alias("rows")).join(terms, "term")
