@@ -446,6 +446,29 @@ def test_near_dedup_against_all_pairs(spark, docs, empty):
     assert near_dedup.drop_near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("common, own", [(66, 10), (80, 7)])
+def test_near_dedup_finds_twins_among_strangers(spark, common, own):
+    """Twins in families of strangers that share a template just too short."""
+    rng = np.random.default_rng(common)
+    rows, doc = [], 0
+    template = [f"t{n}" for n in range(common)]
+    for _ in range(150):
+        tail = [f"own{x}" for x in rng.integers(0, 1 << 60, 22)]
+        for copy in range(2):
+            end = [f"end{x}" for x in rng.integers(0, 1 << 60, own - 6)] if copy else []
+            rows.append((doc, " ".join(template + tail + end)))
+            doc += 1
+    rng.shuffle(order := np.arange(doc))
+    rows = [(int(order[d]), text) for d, text in rows]
+    sets = {d: near_dedup.shingles(simhash.words_of(t), 5) for d, t in rows}
+    pairs = [(a, b) for (a, _), (b, _) in zip(rows[::2], rows[1::2])]
+    assert all(near_dedup.jaccard(sets[a], sets[b]) >= 0.8 for a, b in pairs)
+    assert near_dedup.jaccard(sets[rows[0][0]], sets[rows[2][0]]) < 0.8
+    root = {r.node: r.root for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(root.get(a, a) == root.get(b, b) for a, b in pairs) >= 0.97 * len(pairs)
+    assert len(set(root.values())) >= 0.97 * len(pairs)
+
+
 def paragraphs(text):
     cut = (re.split(r"(?<=[.!?]) ", p) if len(p) > 240 else [p] for p in text.split("\n"))
     return {x for pieces in cut for x in pieces if x}
