@@ -113,8 +113,8 @@ def ratio_text(value: Column) -> Column:
 
 
 def align_up(value: Column, block: int) -> Column:
-    return F.floor((value + (block - 1)) / block) * block
+    return align_down(value + (block - 1), block)
 
 
 def align_down(value: Column, block: int) -> Column:
-    return F.floor(value / block) * block
+    return value - F.pmod(value, F.lit(block))

@@ -79,7 +79,7 @@ def max_stripe_units(disks: DataFrame, group: Sequence[str], capacity: str, widt
         F.count("*").alias("n"),
         *[F.coalesce(F.sum(F.when(F.col("rn") > j, F.col("c"))), F.lit(0)).alias(f"rest_{j}") for j in range(width)],
     )
-    each = [F.floor(F.col(f"rest_{j}") / (width - j)).cast("long") for j in range(width)]
+    each = [F.call_function("div", F.col(f"rest_{j}").cast("long"), F.lit(width - j)) for j in range(width)]
     units = F.least(*each) if width > 1 else each[0]
     return sums.select(*group, F.when(F.col("n") < width, F.lit(0)).otherwise(units).cast("long").alias("units"))
 

@@ -43,6 +43,11 @@ def clip(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     return met.withColumns({"start": F.greatest("start", low), "end": F.least("end", high)})
 
 
+def _bucket(value: Column, bucket: int) -> Column:
+    """The bucket that holds ``value``, in whole numbers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(bucket)), F.lit(bucket))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: int) -> DataFrame:
     """Pairs of intervals of one key that overlap: left columns, right_start
     and right_end, and other right columns under right_<name>.
@@ -51,11 +56,11 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket:
     meet by equality; a pair counts in the bucket where its overlap begins.
     """
     spread = lambda df: df.where("start < end").withColumn(
-        "bucket_no", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket)))
+        "bucket_no", F.explode(F.sequence(_bucket(F.col("start"), bucket), _bucket(F.col("end") - 1, bucket)))
     )
     rest = [c for c in right.columns if c not in keys]
     other = spread(right).withColumnsRenamed({c: f"right_{c}" for c in rest})
     joined = spread(left).join(other, [*keys, "bucket_no"])
     met = (F.col("start") < F.col("right_end")) & (F.col("right_start") < F.col("end"))
-    first = F.floor(F.greatest("start", "right_start") / bucket) == F.col("bucket_no")
+    first = _bucket(F.greatest("start", "right_start"), bucket) == F.col("bucket_no")
     return joined.where(met & first).drop("bucket_no")

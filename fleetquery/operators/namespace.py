@@ -11,7 +11,7 @@ STAT_BLOCK = 512
 
 
 def stat(inodes: DataFrame) -> DataFrame:
-    blocks = F.when(F.col("kind") == "file", F.ceil(F.col("size") / STAT_BLOCK)).otherwise(0).cast("long")
+    blocks = F.when(F.col("kind") == "file", F.call_function("div", F.col("size") + (STAT_BLOCK - 1), F.lit(STAT_BLOCK))).otherwise(0).cast("long")
     return inodes.select("*", blocks.alias("blocks"))
 
 

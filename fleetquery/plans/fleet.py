@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -289,29 +290,19 @@ def due_actions(spark: SparkSession, d: str) -> DataFrame:
 U01_SQL = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE + 1.0) / 18446744073709551616.0"
 
 
-#: Disks up to which a fleet is broadcast whole.
-SMALL_FLEET = 10_000
-
-
-def _small_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Stripes by the disks of their neighbourhood: ids that agree modulo 10."""
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"), (F.col("o_orderkey") % 10).alias("cell"))
-    fleet = disks(spark, d).withColumn("cell", F.col("id") % 10)
-    return orders.join(fleet, "cell")
-
-
-CANDIDATES_SQL = f"""{DISKS_SQL}, cand AS (SELECT o_orderkey AS stripe, disks.* FROM orders JOIN disks ON o_orderkey % 10 = id % 10)"""
+CANDIDATES_SQL = f"""{DISKS_SQL}, cand AS (SELECT o_orderkey AS stripe, disks.* FROM orders, disks)"""
 
 
 @query(
     "stable_u01",
-    f"WITH {CANDIDATES_SQL} SELECT stripe, id, "
-    + U01_SQL.format("'vol' || chr(0) || stripe || chr(0) || id || chr(0)")
-    + " AS u FROM cand",
+    "SELECT l_orderkey, l_linenumber, "
+    + U01_SQL.format("'vol' || chr(0) || l_orderkey || chr(0) || l_linenumber || chr(0)")
+    + " AS u FROM lineitem",
 )
 def stable_u01(spark: SparkSession, d: str) -> DataFrame:
-    u = hashing.stable_u01(F.lit("vol"), F.col("stripe"), F.col("id"))
-    return _small_candidates(spark, d).select("stripe", "id", u.alias("u"))
+    rows = read(spark, d, "lineitem")
+    u = hashing.stable_u01(F.lit("vol"), F.col("l_orderkey"), F.col("l_linenumber"))
+    return rows.select("l_orderkey", "l_linenumber", u.alias("u"))
 
 
 def _score(stripe: Column, disk: Callable[[str], Column]) -> Column:
@@ -339,7 +330,28 @@ SCORED_SQL = f"""round(((-ln({U01_SQL.format("'vol' || chr(0) || stripe || chr(0
 
 @query("rendezvous_score", f"WITH {CANDIDATES_SQL} SELECT stripe, id, {SCORED_SQL} AS score FROM cand")
 def rendezvous_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_small_candidates(spark, d)).select("stripe", "id", "score")
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"))
+    return _scored(placement.every_pair(orders, disks(spark, d), "id")).select("stripe", "id", "score")
+
+
+def _scores(stripes: np.ndarray, fleet: dict[str, np.ndarray]) -> np.ndarray:
+    """``_score`` of some stripes and all of the fleet."""
+    heads = [b"vol\0%d\0" % x for x in stripes]
+    u = hashing.stable_u01_matrix(heads, [b"%d\0" % x for x in fleet["id"]])
+    s, domain, tier = stripes[:, None], fleet["domain"][None, :], fleet["tier"]
+    wanted = {0: "hot", 1: "cold", 2: "warm"}
+    by_class = np.array([[hashing.TIER_BONUS.get((wanted[c], t), 1.0) for t in tier] for c in range(3)])
+    node = np.where(domain % 4 == 0, 1.0, np.where(domain % 2 == s % 2, 0.90, 1.10))
+    capacity = fleet["capacity"].astype(float)
+    fill = np.where(capacity > 0, fleet["used"] / np.maximum(capacity, 1), 0.0)
+    cold_boot = np.where((s % 7 == 0) & (tier == "cold")[None, :], 1.35, 1.0)
+    latency = (fleet["read_ms"] + fleet["write_ms"]) / 2
+    return np.round(hashing.rendezvous_matrix(u, fleet["weight"], by_class[stripes % 3], latency, fill, node, cold_boot), 9)
+
+
+def _fleet(rows: DataFrame) -> DataFrame:
+    capacity = (F.col("capacity_bytes").alias("capacity"), F.col("used_bytes").alias("used"))
+    return rows.select("id", "domain", F.col("domain").alias("fs"), *capacity, "tier", "weight", "read_ms", "write_ms")
 
 
 @query(
@@ -352,12 +364,35 @@ def rendezvous_score(spark: SparkSession, d: str) -> DataFrame:
 )
 def placement_topk(spark: SparkSession, d: str) -> DataFrame:
     stripes = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"))
-    fleet = disks(spark, d).where("status = 'online'")
-    if fleet.limit(SMALL_FLEET + 1).count() <= SMALL_FLEET:
-        found = placement.choose_in_row(stripes, fleet, lambda x: _score(F.col("stripe"), lambda c: x[c]), "domain", "id", 3)
-    else:
-        found = placement.spread_top(_scored(stripes.crossJoin(fleet)), "stripe", "domain", "id", 3)
-    return found.select("stripe", "position", "id")
+    fleet = _fleet(disks(spark, d).where("status = 'online'"))
+    return placement.choose(stripes, fleet, _scores, "stripe", "id", 3)
+
+
+#: Bytes that a shard of ``placement_reserved`` takes of its filesystem.
+SHARD = 1500
+
+
+@query(
+    "placement_reserved",
+    f"""WITH {DISKS_SQL}, cand AS (SELECT o_orderkey AS stripe, disks.* FROM orders, disks WHERE status = 'online'
+      AND (capacity_bytes = 0 OR used_bytes + {SHARD} <= capacity_bytes)),
+    sc AS (SELECT stripe, id, domain AS fs, domain % 2 AS dom, used_bytes, capacity_bytes, {SCORED_SQL} AS score FROM cand),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stripe, dom ORDER BY score, id) AS n FROM sc),
+    f AS (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY score, id) - 1 AS pos FROM r WHERE n = 1),
+    rest AS (SELECT r.*, (SELECT count(*) FROM f WHERE f.stripe = r.stripe AND f.fs = r.fs) AS taken,
+      (SELECT count(*) FROM f WHERE f.stripe = r.stripe) AS made FROM r WHERE n > 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY score, id) - 1 + made AS pos FROM rest
+      WHERE capacity_bytes = 0 OR used_bytes + (taken + 1) * {SHARD} <= capacity_bytes)
+    SELECT stripe, CAST(pos AS INT) AS position, id FROM f UNION ALL
+    SELECT stripe, CAST(pos AS INT), id FROM t WHERE pos < 3 AND made = 2""",
+)
+def placement_reserved(spark: SparkSession, d: str) -> DataFrame:
+    """Two domains that span filesystems: the third choice is of a domain, and
+    maybe of a filesystem, that another has taken room of."""
+    stripes = read(spark, d, "orders").select(F.col("o_orderkey").alias("stripe"))
+    fleet = _fleet(placement.eligible(disks(spark, d), SHARD))
+    scores = lambda keys, held: _scores(keys, held | {"domain": held["fs"]})
+    return placement.choose(stripes, fleet.withColumn("domain", F.col("domain") % 2), scores, "stripe", "id", 3, SHARD)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,12 +139,47 @@ def test_directories(spark):
 
 
 def test_placement_reserves_room(spark):
-    rows = [("s", f"d{n}", f"r{n % 2}", float(n), "fs" if n < 3 else f"d{n}", 100 if n < 3 else 0, 70 if n < 3 else 0) for n in range(6)]
-    df = spark.createDataFrame(rows, "stripe string, disk string, domain string, score double, fs string, capacity long, used long")
-    got = {r.position: r.disk for r in placement.reserve_top(df, "stripe", 3, 20, 100).collect()}
+    rows = [(f"d{n}", f"r{n % 2}", float(n), "fs" if n < 3 else f"d{n}", 100 if n < 3 else 0, 70 if n < 3 else 0) for n in range(6)]
+    fleet = spark.createDataFrame(rows, "disk string, domain string, score double, fs string, capacity long, used long")
+    stripes = spark.createDataFrame([(7,)], "stripe long")
+    scores = lambda keys, held: np.tile(held["score"], (len(keys), 1))
+    got = {r.position: r.disk for r in placement.choose(stripes, fleet, scores, "stripe", "disk", 3, 20).collect()}
     assert got == {0: "d0", 1: "d3", 2: "d4"}  # d1 and d2 share the room that d0 took
-    free = {r.position: r.disk for r in placement.spread_top(df, "stripe", "domain", "disk", 3).collect()}
-    assert free == {0: "d0", 1: "d1", 2: "d2"}
+    with pytest.raises(ValueError):
+        placement.choose(stripes, fleet, scores, "stripe", "disk", 3, 20, size=2)
+    assert placement.choose(stripes, fleet.where("false"), scores, "stripe", "disk", 3).count() == 0
+
+
+@pytest.mark.parametrize("domains", [1, 2, 7])
+def test_placement_of_one_block_and_of_many(spark, domains):
+    rows = [(n, (n * 7) % domains, n, 0, 0) for n in range(60)]
+    fleet = spark.createDataFrame(rows, "disk long, domain long, fs long, capacity long, used long")
+    stripes = spark.range(40).toDF("stripe")
+    scores = lambda keys, held: ((keys[:, None] * 31 + held["disk"] * 17) % 23).astype(float)
+    pairs = placement.every_pair(stripes, fleet, "disk", 9)
+    assert pairs.count() == 40 * 60
+    pairs = pairs.withColumn("score", ((F.col("stripe") * 31 + F.col("disk") * 17) % 23).cast("double"))
+    want = {tuple(r) for r in placement.spread_top(pairs, "stripe", "domain", "disk", 3).select("stripe", "position", "disk").collect()}
+    for size in (9, 100):
+        assert {tuple(r) for r in placement.choose(stripes, fleet, scores, "stripe", "disk", 3, size=size).collect()} == want
+
+
+def test_scores_of_columns_and_arrays_agree(spark, small):
+    from fleetquery.plans import fleet as plans
+
+    rows = plans.rendezvous_score(spark, small).where("stripe < 40").collect()
+    held = plans._fleet(plans.disks(spark, small)).orderBy("id").toPandas()
+    arrays = {n: held[n].to_numpy() for n in held.columns}
+    scores = plans._scores(np.arange(40), arrays)
+    at = {int(x): n for n, x in enumerate(arrays["id"])}
+    assert len(rows) == 40 * len(at)
+    assert all(r.score == pytest.approx(scores[r.stripe, at[r.id]], abs=2e-9) for r in rows)
+
+
+def test_whole_numbers_above_doubles(spark):
+    big = F.lit(9007199254740993)
+    assert values(spark, text.align_up(big, 1)) == [9007199254740993]
+    assert values(spark, text.align_down(big, 2)) == [9007199254740992] and values(spark, text.align_up(big, 2)) == [9007199254740994]
 
 
 def test_access_rules(spark):
