@@ -6,8 +6,10 @@ every pair of blocks. A shard is indexed by a BK-tree: a child hangs below its
 parent on the edge whose key is their Hamming distance, and a search follows
 only edges within the radius of the distance at hand. Shards are small
 whatever the corpus; one that is not is cut into trees of bounded size, and
-its fingerprints visit each of them. Trees are built where a shuffle brings
-their shard, not broadcast: all of them together grow with the corpus.
+its fingerprints visit them in blocks of the same size, so a task holds one
+tree and one block at a time. Trees are built where a shuffle brings them, not
+broadcast: they hold the fingerprints of all documents, which must not pass
+through the driver and have no size bound.
 """
 
 from __future__ import annotations
@@ -67,8 +69,17 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+_ALL_BITS = (1 << 64) - 1
+
+
+def hamming(a: int, b: int) -> int:
+    """Differing bits of two 64-bit integers; of signed ones too, whose XOR
+    may be negative, and a negative integer counts the bits of its opposite."""
+    return ((a ^ b) & _ALL_BITS).bit_count()
+
+
 class BKTree:
-    """Integers under Hamming distance."""
+    """64-bit integers under Hamming distance."""
 
     def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
@@ -78,7 +89,7 @@ class BKTree:
             self.root = (value, {})
             return
         node, edges = self.root
-        while distance := (node ^ value).bit_count():
+        while distance := hamming(node, value):
             if distance not in edges:
                 edges[distance] = (value, {})
                 return
@@ -88,7 +99,7 @@ class BKTree:
         found, stack = [], [self.root] if self.root else []
         while stack:
             node, edges = stack.pop()
-            distance = (node ^ value).bit_count()
+            distance = hamming(node, value)
             if distance <= radius:
                 found.append(node)
             for key in range(max(1, distance - radius), distance + radius + 1):
@@ -97,9 +108,9 @@ class BKTree:
         return found
 
 
-def shard_links(members: list[int], tree_members: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join what the radius joins: at most one for each member."""
-    tree, parent = BKTree(), {x: x for x in members}
+def tree_links(visitors: list[int], tree_members: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that join what the radius joins: at most one for each of both."""
+    tree, parent = BKTree(), {x: x for x in (*visitors, *tree_members)}
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -109,7 +120,7 @@ def shard_links(members: list[int], tree_members: list[int], radius: int) -> lis
     for x in tree_members:
         tree.add(x)
     links = []
-    for x in members:
+    for x in visitors:
         for y in tree.within(x, radius):
             a, b = top(x), top(y)
             if a != b:
@@ -124,40 +135,57 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def cells(fps: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
+    """key, tree, block, fp, in_tree, visits: who stands in which tree and who
+    visits it, with about ``tree_size`` of either to a cell.
+
+    A shard of several trees has a cell for each tree and each block of its
+    fingerprints that comes no later than the tree: each pair of fingerprints
+    meets in one of them.
+    """
+    cut = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in blocks(radius)]
+    pairs = combinations(range(radius + 2), 2)
+    keys = F.array(*[F.xxhash64(F.lit(n), cut[i], cut[j]) for n, (i, j) in enumerate(pairs)])
+    dealt = fps.select(F.col("fp").alias("doc_id"), F.explode(keys).alias("key"))
+    sizes = dealt.groupBy(F.col("key").alias("group_key")).agg(F.count("*").alias("rows")).where("rows > 1")
+    sizes = written(sizes, "shards")
+    dealt = join_groups(dealt, "key", sizes, "group_key", "rows").where("rows IS NOT NULL")
+    trees = F.ceil(F.col("rows") / tree_size).cast("int")
+    dealt = dealt.select("key", F.col("doc_id").alias("fp"), trees.alias("trees"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
+    cell = lambda t, b, i, v: F.struct(t.alias("tree"), b.alias("block"), F.lit(i).alias("in_tree"), F.lit(v).alias("visits"))
+    own, last = F.col("own"), F.col("trees") - 1
+    others = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    stands = F.transform(others(F.lit(0), own - 1), lambda b: cell(own, b, True, False))
+    visits = F.transform(others(own + 1, last), lambda t: cell(t, own, False, True))
+    rows = dealt.select("key", "fp", F.explode(F.concat(F.array(cell(own, own, True, True)), stands, visits)).alias("c"))
+    return rows.select("key", "c.tree", "c.block", "fp", "c.in_tree", "c.visits")
+
+
 def links(fps: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
     """src, dst: links between the distinct fingerprints ``fps.fp`` that hold
     together whatever a Hamming distance of ``radius`` or less connects."""
-    cut = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in blocks(radius)]
-    keys = [
-        F.struct(F.lit(n).alias("band"), F.xxhash64(cut[i], cut[j]).alias("key"))
-        for n, (i, j) in enumerate(combinations(range(radius + 2), 2))
-    ]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.key")
-    sizes = dealt.groupBy("band", "key").count().where("count > 1")
-    dealt = dealt.join(sizes, ["band", "key"])
-    trees = F.ceil(F.col("count") / tree_size).cast("int")
-    dealt = dealt.withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
-    dealt = dealt.withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1)))
-    dealt = dealt.select("band", "key", "tree", "fp", (F.col("tree") == F.col("own")).alias("member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            found = shard_links([x for x, _ in rows], [x for x, own in rows if own], radius)
+            found = tree_links([x for x, _, v in rows if v], [x for x, t, _ in rows if t], radius)
             src, dst = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
         at, rows = None, []
         for batch in batches:
-            for *shard, fp, own in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "tree", "fp", "member"))):
-                if shard != at:
+            names = ("key", "tree", "block", "fp", "in_tree", "visits")
+            for *cell, fp, in_tree, visits in zip(*(batch.column(c).to_pylist() for c in names)):
+                if cell != at:
                     if len(rows) > 1:
                         yield out()
-                    at, rows = shard, []
-                rows.append((fp, own))
+                    at, rows = cell, []
+                rows.append((fp, in_tree, visits))
         if len(rows) > 1:
             yield out()
 
-    shards = dealt.repartition("band", "key", "tree").sortWithinPartitions("band", "key", "tree")
+    order = ["key", "tree", "block"]
+    shards = cells(fps, radius, tree_size).repartition(*order).sortWithinPartitions(*order)
     return shards.mapInArrow(run, "src long, dst long").distinct()
 
 

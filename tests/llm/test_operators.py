@@ -416,6 +416,31 @@ def test_bk_tree_links_against_all_pairs(spark, tree_size):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_hamming_distance_of_signed_integers():
+    signed = [0, -1, 5, -(1 << 63), -(1 << 63) + 5, 1 << 62, -2, 7]
+    for a in signed:
+        for b in signed:
+            assert simhash.hamming(a, b) == bin((a ^ b) & (1 << 64) - 1).count("1")
+    tree = simhash.BKTree()
+    for x in signed:
+        tree.add(x)
+    assert sorted(tree.within(-(1 << 63) + 1, 2)) == sorted(x for x in signed if simhash.hamming(x, -(1 << 63) + 1) <= 2)
+
+
+def test_a_crowded_shard_is_dealt_to_cells(spark):
+    """50,000 fingerprints that share half of their bits: all in one shard."""
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 32, 50_000)).tolist()
+    rows = written(spark.createDataFrame([(f,) for f in fps], "fp long"), "crowd")
+    found = simhash.cells(rows, 2)
+    sizes = found.groupBy("key", "tree", "block").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 2.2 * simhash.TREE_SIZE
+    both = found.groupBy("key").agg({"tree": "max"}).toDF("key", "last").orderBy("last").collect()[-1]
+    assert both["last"] == -(-len(fps) // simhash.TREE_SIZE) - 1
+    whole = found.where(found.key == both["key"]).where("in_tree").groupBy("tree", "block").count()
+    assert whole.count() == (both["last"] + 1) * (both["last"] + 2) // 2
+
+
 def test_components_of_a_long_chain(spark):
     from fleetquery.llm.graph import components
 
