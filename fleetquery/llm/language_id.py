@@ -5,11 +5,11 @@ characters that both hold (presence, lower case, blended over the lengths),
 divided by the geometric mean of their own counts. A bounded sample of
 labelled texts gives landmarks; the Nyström map sends a text's kernel row to
 features in which one ridge regression a language separates it from the rest.
-Landmark rows, map and regression are linear in the presence of n-grams, so
-they fold into one matrix, and a batch of texts is scored by one product.
+A batch of texts is scored by matrix products: presence of n-grams by the
+landmarks' presence, which gives kernel rows, then by the map and the weights.
 
-A text in a language that was not learned scores about as one that shares no
-n-gram with the model (0.5), and few of its n-grams are known. Which scores
+A text that shares no n-gram with the model scores 0. One in a language that
+was not learned scores about 0.5, and few of its n-grams are known. Which scores
 and shares are too low is read off the labelled sample itself, each half of it
 judged by a model of the other half.
 """
@@ -54,42 +54,60 @@ def grams(text: str) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
-    """codes: the landmarks' n-grams, sorted; weights: codes by languages."""
+    """codes: the landmarks' n-grams, sorted; presence: codes by landmarks, 0
+    or 1; norms: root of each landmark's number of n-grams; nystrom: landmarks
+    by features; weights: features by languages."""
 
     languages: tuple[str, ...]
     codes: np.ndarray
+    presence: np.ndarray
+    norms: np.ndarray
+    nystrom: np.ndarray
     weights: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_dense"}
+
+    @property
+    def dense(self) -> np.ndarray:
+        """``presence`` for products, made once in each worker; counts of
+        n-grams are exact in single precision."""
+        if not hasattr(self, "_dense"):
+            self._dense = self.presence.astype(np.float32)
+        return self._dense
+
     def score(self, texts: list[str]) -> np.ndarray:
         """A regression value for each text and language."""
         return self.judge(texts)[0]
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``score``, and the share of each text's n-grams that is known."""
-        rows, columns, norms = [], [], []
+        held = np.zeros((len(texts), len(self.codes)), np.float32)
+        own, known = np.ones(len(texts)), np.zeros(len(texts))
         for n, text in enumerate(texts):
-            own = grams(text)
-            at = np.searchsorted(self.codes, own)
-            at = at[self.codes[np.minimum(at, len(self.codes) - 1)] == own] if len(self.codes) else at[:0]
-            rows.append(np.full(len(at), n))
-            columns.append(at)
-            norms.append(max(len(own), 1))
-        out = np.zeros((len(texts), len(self.languages)))
-        row, column = np.concatenate(rows), np.concatenate(columns)
-        filled, first = np.unique(row, return_index=True)
-        if len(filled):  # the product of the presence matrix and the weights
-            out[filled] = np.add.reduceat(self.weights[column], first, axis=0)
-        shares = np.array([len(at) for at in columns]) / np.array(norms)
-        return out / np.sqrt(np.array(norms))[:, None], shares
+            found = grams(text)
+            at = places(self.codes, found)
+            held[n, at] = 1
+            own[n], known[n] = max(len(found), 1), len(at)
+        kernel = (held @ self.dense) / np.sqrt(own)[:, None] / self.norms
+        return kernel @ self.nystrom @ self.weights, known / own
+
+
+def places(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where those of ``own`` that are among the sorted ``codes`` stand."""
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(codes, own)
+    return at[codes[np.minimum(at, len(codes) - 1)] == own]
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """A model from (text, language) pairs. No pairs: a model of no language."""
     languages = tuple(sorted({lang for _, lang in sample}))
     if not languages:
-        return Model((), np.zeros(0, np.uint64), np.zeros((0, 0)))
+        return Model((), np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)))
     held = [grams(text) for text, _ in sample]
     seen: dict[str, int] = {}
     chosen = []
@@ -98,14 +116,11 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
         if seen[lang] <= landmarks:
             chosen.append(n)
     codes = np.unique(np.concatenate([held[n] for n in chosen]))
-    presence = np.zeros((len(codes), len(chosen)))
+    presence = np.zeros((len(codes), len(chosen)), np.uint8)
     for k, n in enumerate(chosen):
-        presence[np.searchsorted(codes, held[n]), k] = 1 / np.sqrt(len(held[n]))
-    rows = np.zeros((len(sample), len(chosen)))
-    for n, own in enumerate(held):
-        at = np.searchsorted(codes, own)
-        at = at[codes[np.minimum(at, len(codes) - 1)] == own]
-        rows[n] = presence[at].sum(0) / np.sqrt(len(own))
+        presence[np.searchsorted(codes, held[n]), k] = 1
+    norms = np.sqrt([max(len(held[n]), 1) for n in chosen])
+    rows = np.array([presence[places(codes, own)].sum(0) / np.sqrt(max(len(own), 1)) for own in held]) / norms
     values, vectors = np.linalg.eigh(rows[chosen])
     kept = values > 1e-8 * values.max()
     nystrom = vectors[:, kept] / np.sqrt(values[kept])
@@ -114,12 +129,13 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     share = np.array([1 / sum(x == lang for _, x in sample) for _, lang in sample]) * len(sample)
     weighted = features * share[:, None]
     solved = np.linalg.solve(features.T @ weighted + ridge * len(sample) * np.eye(features.shape[1]), weighted.T @ sides)
-    return Model(languages, codes, presence @ (nystrom @ solved))
+    return Model(languages, codes, presence, norms, nystrom, solved)
 
 
-def scores_of(values: np.ndarray) -> np.ndarray:
-    """Where the best value lies between "all other" (0) and "this language" (1)."""
-    return np.clip((values.max(1) + 1) / 2, 0, 1)
+def scores_of(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Where the best value lies between "all other" (0) and "this language"
+    (1); 0 without a known n-gram."""
+    return np.where(shares > 0, np.clip((values.max(1) + 1) / 2, 0, 1), 0.0)
 
 
 def limits(sample: list[tuple[str, str]], part: float = LOW_PART) -> tuple[float, float]:
@@ -138,7 +154,7 @@ def limits(sample: list[tuple[str, str]], part: float = LOW_PART) -> tuple[float
         model = fit(other)
         for at in range(0, len(texts), 64):
             values, known = model.judge(texts[at : at + 64])
-            scores.append(scores_of(values))
+            scores.append(scores_of(values, known))
             shares.append(known)
     every = np.concatenate(scores), np.concatenate(shares)
     return tuple(float(np.quantile(x, part)) if len(x) else 0.0 for x in every)
@@ -185,8 +201,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             rows = [n for n, yes in enumerate(lettered) if yes]
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
-                values = known.score([texts[n] for n in part])
-                for n, own, score in zip(part, values, scores_of(values)):
+                values, shares = known.judge([texts[n] for n in part])
+                for n, own, score in zip(part, values, scores_of(values, shares)):
                     preds[n] = known.languages[int(own.argmax())]
                     scores[n] = float(score)
             columns = [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
@@ -210,7 +226,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, share: float =
         for at in range(0, len(rows), 64):
             part = rows[at : at + 64]
             values, shares = model.judge([texts.iloc[n] for n in part])
-            out[part] = (scores_of(values) >= least) | (shares >= share)
+            out[part] = (scores_of(values, shares) >= least) | (shares >= share)
         import pandas as pd
 
         return pd.Series(out)

@@ -354,6 +354,34 @@ def test_language_stage_drops_what_was_not_learned(spark, small):
     assert language_id.limits([]) == (0.0, 0.0) == language_id.limits([("one text", "a")])
 
 
+def test_language_id_against_dense_kernels(small):
+    """Kernels from sets of n-grams, all of them, and the regression apart."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT text, lang FROM '{small}/documents.parquet' WHERE length(text) > 40 AND lang IS NOT NULL ORDER BY doc_id").fetchall()
+    sample, tests = rows[:40], [t for t, _ in rows[40:60]]
+    pieces = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t.lower()) - n + 1)}
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    model = language_id.fit(sample, landmarks=4)
+    chosen = []
+    for n, (_, lang) in enumerate(sample):
+        if sum(sample[m][1] == lang for m in chosen) < 4:
+            chosen.append(n)
+    own = [pieces(t) for t, _ in sample]
+    gram = np.array([[kernel(own[a], own[b]) for b in chosen] for a in chosen])
+    values, vectors = np.linalg.eigh(gram)
+    root = (vectors / np.sqrt(values)) @ vectors.T  # another map with the same products
+    features = np.array([[kernel(x, own[b]) for b in chosen] for x in own]) @ root
+    langs = sorted({lang for _, lang in sample})
+    sides = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in sample])
+    share = np.array([len(sample) / sum(x == lang for _, x in sample) for _, lang in sample])
+    left = features.T @ (features * share[:, None]) + 0.01 * len(sample) * np.eye(len(chosen))
+    weights = np.linalg.solve(left, (features * share[:, None]).T @ sides)
+    want = np.array([[kernel(pieces(t), own[b]) for b in chosen] for t in tests]) @ root @ weights
+    assert model.languages == tuple(langs) and np.allclose(model.score(tests), want, atol=1e-4)
+    assert language_id.scores_of(*model.judge(["\u10d0\u10d1\u10d2"])).tolist() == [0.0]
+
+
 def test_language_id_kernel_is_exact():
     sample = [("abab", "a"), ("bcbc", "b"), ("abcab", "a"), ("cbcb", "b")]
     model = language_id.fit(sample, landmarks=2, ridge=1e-6)
