@@ -78,7 +78,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None =
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents under ``path``.
 
-    ``start``: ids of all documents before it. Files are in order by name;
+    ``start``: ids of all documents before it. Files are in order by number;
     their totals, one row a file, are accumulated and broadcast. Rows that share
     a doc_id count in the order of n_tokens and checksum.
     """
@@ -98,8 +98,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
     rows = written(rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
+    earlier = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # names sort wrongly from 100,000 files on
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held")).withColumn("number", number)
     files = files.select("file", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
