@@ -35,10 +35,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of the driver takes its place.
+    unset and the master is local (tests) a temporary folder of the driver
+    takes its place: on a cluster executors would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fleetquery-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/fleetquery/{what}-{uuid.uuid4().hex}"
