@@ -92,7 +92,8 @@ def scan(items: Column, state: Column, kind: str, step: Callable[[Column, Column
 
 def below(values: Column, key: Column) -> Column:
     """How many of the sorted ``values`` are at most ``key``: binary search."""
-    steps = F.array(*[F.lit(1 << n) for n in range(23, -1, -1)])
+    most = F.floor(F.log2(F.size(values) + F.lit(1.0))).cast("int")
+    steps = F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda n: F.call_function("shiftleft", F.lit(1), n))
 
     def advance(at: Column, by: Column) -> Column:
         within = (at + by <= F.size(values)) & (F.get(values, at + by - 1) <= key)

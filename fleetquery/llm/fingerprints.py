@@ -1,14 +1,18 @@
 """Document fingerprints as invertible Bloom lookup sketches (operator 10, native).
 
-A paragraph's digest falls into one cell of each of three small tables; a cell
-keeps how many digests it took, their XOR, and the XOR of their checks. Two
-versions' sketches are subtracted cell by cell, which cancels what they share.
-A cell left with one digest that its check confirms is peeled: the digest is a
+A paragraph's digest falls into one cell of each of three tables; a cell keeps
+how many digests it took, their XOR, and the XOR of their checks. Two versions'
+sketches are subtracted cell by cell, which cancels what they share. A cell
+left with one digest that its check confirms is peeled: the digest is a
 difference, and leaves its other cells too, which may free the next. Where
-cells stay filled, the sketch was too small for the differences: the digests
-are dealt to many sketches by their leading bits, and any of those that fails
-is split again. At last the few digests of a range are compared directly.
-All of it is columns and higher-order functions of one row.
+cells stay filled, the sketch was too small for the differences: both sides
+are sketched again, larger, until peeling empties all cells.
+At the largest size the three cells are the digest's own bits, so two digests
+never share all three. All of it is columns and higher-order functions of one row.
+
+A table's cell is the leading bits of the digest as the table turns it (by a
+third of its bits a table). The turned digests are sorted once, so a cell is a
+run of them and a sketch of any size takes a sort and a pass, not a filter a cell.
 """
 
 from __future__ import annotations
@@ -18,233 +22,192 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetquery.llm.common import partitions, table
+from fleetquery.llm.common import below, let, partitions, table
 
-#: Tables of a sketch, and cells of a table (a power of two).
+#: Tables of a sketch; cells of a fingerprint's table, as a power of two.
 TABLES = 3
-CELLS = 8
-_CELL_BITS = 3
-#: Digests of either side that one of many sketches is meant to take.
-LOAD = 8
-#: Times that a failed sketch is split into four.
-SPLITS = 1
-#: Paragraphs above this many characters are cut into sentences.
-LONG_PARAGRAPH = 240
+CELL_BITS = 3
+#: Each further retry has two more bits, four times the cells, up to a third of
+#: a digest's bits, which the last of so many has reached.
+RETRIES = 10
 _DIGEST_BITS = 63
-_ROUNDS = 12
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_TURN = _DIGEST_BITS // TABLES
+_ROUNDS = 64
+#: Bytes of text meant for one range of documents, and most ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Sorted different digests (63 bits) of a text's paragraphs."""
-    lines = F.split(text, "\n")
-    cut = F.transform(lines, lambda p: F.when(F.length(p) > LONG_PARAGRAPH, F.split(p, "(?<=[.!?]) ")).otherwise(F.array(p)))
-    pieces = F.filter(F.flatten(cut), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.shiftrightunsigned(F.xxhash64(p), 1))))
+    """The different digests (63 bits) of a text's paragraphs: its lines,
+    cut after each sentence, whatever their length."""
+    pieces = F.filter(F.split(text, "\n|(?<=[.!?]) "), lambda p: p != "")
+    return F.array_distinct(F.transform(pieces, lambda p: F.shiftrightunsigned(F.xxhash64(p), 1)))
 
 
-def _cells() -> Column:
-    """Each cell of a sketch: the bits of a digest it looks at, and their value
-    in the digests it takes. A constant."""
-    places = [(t * _CELL_BITS, c) for t in range(TABLES) for c in range(CELLS)]
-    bits = [((CELLS - 1) << shift, c << shift) for shift, c in places]
-    return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(v).cast("long").alias("value")) for m, v in bits])
+def _left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
 
 
-def _takes(cell: Column, digest: Column) -> Column:
-    return digest.bitwiseAND(cell["mask"]) == cell["value"]
+def _right(value: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, by)
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest)
+def _turned(digest: Column, by: Column) -> Column:
+    """The 63 bits of ``digest`` turned left by ``by`` bits."""
+    high = _left(digest, by).bitwiseAND(F.lit((1 << _DIGEST_BITS) - 1))
+    return high.bitwiseOR(_right(digest, F.lit(_DIGEST_BITS) - by))
 
 
-def _state(cell: Column, count: Column, key: Column, check: Column) -> Column:
-    return F.struct(
-        cell["mask"].alias("mask"), cell["value"].alias("value"), count.alias("count"), key.alias("key"), check.alias("check")
-    )
+def _turns() -> Column:
+    return F.array(*[F.lit(t * _TURN) for t in range(TABLES)])
 
 
-def sketch(digests: Column) -> Column:
-    """Array of cells: count, key (XOR of digests), check (XOR of checks)."""
-    zero = F.lit(0).cast("long")
+def turned(digests: Column) -> Column:
+    """For each table the digests as it turns them, sorted."""
+    return F.transform(_turns(), lambda by: F.sort_array(F.transform(digests, lambda d: _turned(d, by))))
 
-    def fill(cell: Column) -> Column:
-        return let(
-            F.filter(digests, lambda d: _takes(cell, d)),
-            lambda held: _state(
-                cell,
-                F.size(held),
-                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(d)),
-                F.aggregate(held, zero, lambda a, d: a.bitwiseXOR(_check(d))),
-            ),
-        )
 
-    return F.transform(_cells(), fill)
-
-
-def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(
-        left,
-        right,
-        lambda a, b: _state(
-            a, a["count"] - b["count"], a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"])
-        ),
-    )
+def _starts(cells_of: Column, cells: Column) -> Column:
+    """Where each cell's run starts, and the last one's ends, in the sorted
+    ``cells_of`` digests: marks are sorted in between, without a search."""
+    marks = F.transform(F.sequence(F.lit(0), cells), lambda c: c * 2)
+    merged = F.sort_array(F.concat(F.transform(cells_of, lambda c: c * 2 + 1), marks))
+    places = F.transform(merged, lambda z, i: F.when(z % 2 == 0, i - F.shiftright(z, 1)).otherwise(-1))
+    return F.filter(places, lambda i: i >= 0)
 
 
-_NO_FOUND = "array<struct<digest:bigint,side:int>>"
+def added(sketches: Column, tables: Column, bits: Column, side: int) -> Column:
+    """``sketches`` of 2**bits cells a table with ``turned`` digests added: a
+    cell's count goes by ``side`` for each, its key and check by XOR."""
 
+    def filled(cells: Column, digests: Column) -> Column:
+        def cell(c: Column, start: Column, n: Column) -> Column:
+            def take(a: Column, i: Column) -> Column:
+                d = F.get(digests, i)
+                key, check = a["key"].bitwiseXOR(d), a["check"].bitwiseXOR(F.xxhash64(d))
+                return F.struct((a["count"] + side).alias("count"), key.alias("key"), check.alias("check"))
 
-def peel(cells: Column) -> Column:
-    """found: the digests of one side only with side 1 (left) or -1 (right);
-    ok: whether nothing is left in the cells."""
+            # places, not a slice: that would copy the whole array for each cell
+            return F.when(n == 0, c).otherwise(F.aggregate(F.sequence(start, start + n - 1), c, take))
 
-    def step(held: Column, _: Column) -> Column:
-        pure = F.filter(
-            held["cells"], lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"]))
-        )
-        new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("digest"), c["count"].alias("side"))))
+        own = F.transform(digests, lambda d: _right(d, F.lit(_DIGEST_BITS) - bits).cast("int"))
+        places = _starts(own, F.size(cells))
+        return let(places, lambda s: F.transform(cells, lambda c, i: cell(c, F.get(s, i), F.get(s, i + 1) - F.get(s, i))))
 
-        def without(found: Column) -> Column:
-            def clear(cell: Column) -> Column:
-                return F.aggregate(
-                    F.filter(found, lambda p: _takes(cell, p["digest"])),
-                    cell,
-                    lambda a, p: _state(
-                        a,
-                        a["count"] - p["side"],
-                        a["key"].bitwiseXOR(p["digest"]),
-                        a["check"].bitwiseXOR(_check(p["digest"])),
-                    ),
-                )
-
-            more = F.struct(
-                F.transform(held["cells"], clear).alias("cells"),
-                F.concat(held["found"], found).alias("found"),
-                F.lit(True).alias("going"),
-            )
-            ended = F.struct(held["cells"].alias("cells"), held["found"].alias("found"), F.lit(False).alias("going"))
-            return F.when(F.size(found) > 0, more).otherwise(ended)
+    return F.zip_with(sketches, tables, filled)
 
-        return F.when(held["going"], let(new, without)).otherwise(held)
 
-    start = F.struct(
-        cells.alias("cells"), F.from_json(F.lit("[]"), _NO_FOUND).alias("found"), F.lit(True).alias("going")
-    )
-    rounds = F.array(*[F.lit(n) for n in range(_ROUNDS)])
-    empty = lambda c: (c["count"] == 0) & (c["key"] == 0) & (c["check"] == 0)
-    return F.aggregate(
-        rounds,
-        start,
-        step,
-        lambda held: F.struct(F.forall(held["cells"], empty).alias("ok"), held["found"].alias("found")),
-    )
+def sketch(tables: Column, bits: Column) -> Column:
+    """For each table an array of 2**bits cells: count, key (XOR of turned
+    digests), check (XOR of their checks), from ``turned`` digests."""
+    zero = F.lit(0).cast("long")
+    empty = F.struct(F.lit(0).alias("count"), zero.alias("key"), zero.alias("check"))
+    cells = F.array_repeat(empty, _left(F.lit(1), bits))
+    return added(F.transform(tables, lambda _: cells), tables, bits, 1)
 
 
-def _directly(left: Column, right: Column) -> Column:
-    """The differing digests of two short arrays, compared as they are."""
-    mark = lambda side: lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side"))
-    return F.concat(
-        F.transform(F.array_except(left, right), mark(1)), F.transform(F.array_except(right, left), mark(-1))
-    )
+def subtract(left: Column, right: Column) -> Column:
+    def cell(a: Column, b: Column) -> Column:
+        count, key, check = a["count"] - b["count"], a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"])
+        return F.struct(count.alias("count"), key.alias("key"), check.alias("check"))
 
+    return F.zip_with(left, right, lambda a, b: F.zip_with(a, b, cell))
 
-def _range_found(left: Column, right: Column, low: Column, bits: Column, splits: int) -> Column:
-    """The differing digests of a range of 2**bits digests from ``low`` on."""
 
-    def retried() -> Column:
-        if not splits:
-            return _directly(left, right)
-        quarter = F.call_function("shiftleft", F.lit(1).cast("long"), bits - 2)
+def peel(tables: Column, bits: Column) -> Column:
+    """left, right: the digests that only one side has; ok: whether nothing is
+    left in the cells."""
 
-        def part(n: Column) -> Column:
-            first = low + quarter * n
-            inside = lambda d: (d >= first) & (d <= first + (quarter - 1))
-            pair = F.struct(F.filter(left, inside).alias("left"), F.filter(right, inside).alias("right"))
-            return let(pair, lambda p: _range_found(p["left"], p["right"], first, bits - 2, splits - 1))
+    def pure(held: Column, side: int) -> Column:
+        of = lambda c: (c["count"] == side) & (c["check"] == F.xxhash64(c["key"]))
+        # turned on by the rest of the digest, a key is the digest again
+        back = lambda t: F.lit(_DIGEST_BITS) - t * _TURN
+        digests = F.transform(held, lambda cells, t: F.transform(F.filter(cells, of), lambda c: _turned(c["key"], back(t))))
+        return F.array_distinct(F.flatten(digests))
 
-        return F.flatten(F.transform(F.array(*[F.lit(n).cast("long") for n in range(4)]), part))
+    def state(cells: Column, left: Column, right: Column, going: Column) -> Column:
+        return F.struct(cells.alias("cells"), left.alias("left"), right.alias("right"), going.alias("going"))
 
-    tried = peel(subtract(sketch(left), sketch(right)))
-    return let(tried, lambda t: F.when(t["ok"], t["found"]).otherwise(retried()))
+    def step(held: Column, _: Column) -> Column:
+        new = F.struct(pure(held["cells"], 1).alias("left"), pure(held["cells"], -1).alias("right"))
 
+        def without(found: Column) -> Column:
+            cells = held["cells"]
+            for side, name in ((-1, "left"), (1, "right")):
+                cells = F.when(F.size(found[name]) > 0, added(cells, turned(found[name]), bits, side)).otherwise(cells)
+            left, right = F.concat(held["left"], found["left"]), F.concat(held["right"], found["right"])
+            ended = state(held["cells"], held["left"], held["right"], F.lit(False))
+            some = F.size(found["left"]) + F.size(found["right"]) > 0
+            return F.when(some, state(cells, left, right, F.lit(True))).otherwise(ended)
 
-def _below(digests: Column, key: Column) -> Column:
-    """How many of the sorted ``digests`` are at most ``key``: binary search."""
-    steps = F.array(*[F.lit(1 << n) for n in range(23, -1, -1)])
+        return F.when(held["going"], let(new, without)).otherwise(held)
 
-    def advance(at: Column, by: Column) -> Column:
-        within = (at + by <= F.size(digests)) & (F.get(digests, at + by - 1) <= key)
-        return F.when(F.coalesce(within, F.lit(False)), at + by).otherwise(at)
+    def end(held: Column) -> Column:
+        clear = lambda c: (c["count"] == 0) & (c["key"] == 0) & (c["check"] == 0)
+        ok = F.forall(held["cells"], lambda cells: F.forall(cells, clear))
+        return F.struct(ok.alias("ok"), held["left"].alias("left"), held["right"].alias("right"))
 
-    return F.aggregate(steps, F.lit(0), advance)
+    none = F.array().cast("array<bigint>")
+    start = state(tables, none, none, F.lit(True))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, step, end)
 
 
 def differences(left: Column, right: Column, left_sketch: Column, right_sketch: Column) -> Column:
-    """The digests that only one of two sorted arrays holds, with their side.
+    """left, right: the digests that only one of two sides holds, from their
+    ``turned`` digests and fingerprints; tries: sketches that it took.
 
-    First the two fingerprints are subtracted and peeled; if that fails, so
-    many sketches as the digests ask for.
+    First the two fingerprints are subtracted and peeled. If that fails, both
+    sides are sketched in half as many cells a table as they have digests
+    together; while that fails, in four times the cells. Equal sides take none.
     """
-    most = F.greatest(F.size(left), F.size(right))
-    bits = F.greatest(F.ceil(F.log2(most / F.lit(float(LOAD)))), F.lit(0)).cast("int")
-
-    def larger(lead: Column) -> Column:
-        width = F.lit(_DIGEST_BITS) - lead
-
-        def part(n: Column) -> Column:
-            low = F.call_function("shiftleft", n, width)
-            high = low + (F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1)
-
-            def cut(digests: Column) -> Column:
-                # digests are at least 0, so none is missed below the first range
-                first = F.when(n > 0, _below(digests, low - 1)).otherwise(F.lit(0))
-                return let(first, lambda a: F.slice(digests, a + 1, _below(digests, high) - a))
-
-            pair = F.struct(cut(left).alias("left"), cut(right).alias("right"))
-            return let(pair, lambda p: _range_found(p["left"], p["right"], low, width, SPLITS))
-
-        last = F.call_function("shiftleft", F.lit(1).cast("long"), lead) - 1
-        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), last), part))
-
-    tried = peel(subtract(left_sketch, right_sketch))
-    # of 63 bits one is left for the sign when a single sketch takes them all
-    found = let(tried, lambda t: F.when(t["ok"], t["found"]).otherwise(let(F.greatest(bits, F.lit(1)), larger)))
-    return F.when(left == right, F.from_json(F.lit("[]"), _NO_FOUND)).otherwise(found)
-
-
-def likeness(left: Column, right: Column, found: Column) -> Column:
+    digests = F.size(F.get(left, F.lit(0))) + F.size(F.get(right, F.lit(0)))
+    fitting = F.ceil(F.log2(digests + F.lit(1.0))).cast("int") - 1
+    none = F.array().cast("array<bigint>")
+
+    def attempt(held: Column, n: Column) -> Column:
+        grown = F.greatest(fitting, F.lit(CELL_BITS + 1)) + (n - 1) * 2
+        bits = F.when(n == 0, CELL_BITS).otherwise(F.least(grown, F.lit(_TURN)))
+        fingerprints = F.struct(left_sketch.alias("a"), right_sketch.alias("b"))
+        larger = F.struct(sketch(left, bits).alias("a"), sketch(right, bits).alias("b"))
+        pair = F.when(n == 0, fingerprints).otherwise(larger)
+        tried = let(pair, lambda p: peel(subtract(p["a"], p["b"]), bits))
+        out = lambda t: F.struct(t["ok"].alias("ok"), t["left"].alias("left"), t["right"].alias("right"), (n + 1).alias("tries"))
+        return F.when(held["ok"], held).otherwise(let(tried, out))
+
+    same = (F.get(left, F.lit(0)) == F.get(right, F.lit(0))).alias("ok")
+    start = F.struct(same, none.alias("left"), none.alias("right"), F.lit(0).alias("tries"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, attempt)
+    unsolved = F.raise_error(F.lit("a sketch of the largest size did not peel")).cast("struct<ok:boolean,left:array<bigint>,right:array<bigint>,tries:int>")
+    return let(found, lambda f: F.when(f["ok"], f).otherwise(unsolved))
+
+
+def likeness(left: Column, found: Column) -> Column:
     """Shared digests over all digests; 1 if neither side has any."""
-    only_left = F.size(F.filter(found, lambda d: d["side"] == 1))
-    only_right = F.size(found) - only_left
-    every = F.size(left) + only_right
-    return F.when(every == 0, F.lit(1.0)).otherwise((F.size(left) - only_left) / every)
+    every = F.size(left) + F.size(found["right"])
+    return F.when(every == 0, F.lit(1.0)).otherwise((F.size(left) - F.size(found["left"])) / every)
 
 
-def shown(cells: Column) -> Column:
+def shown(tables: Column) -> Column:
     """A sketch as text: each cell's count and key in hexadecimal."""
-    return F.lower(F.concat_ws(".", F.transform(cells, lambda c: F.concat_ws(":", F.hex(c["count"]), F.hex(c["key"])))))
+    return F.lower(F.concat_ws(".", F.transform(F.flatten(tables), lambda c: F.concat_ws(":", F.hex(c["count"]), F.hex(c["key"])))))
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, carried: list[str], size: Column) -> DataFrame:
     """``rows`` with next_<c> for ``carried``: values of the next row in the
     order of doc_id and tie; after the last comes the first.
 
     Rows are dealt to ranges of doc_id with bounds from approximate
-    quantiles, as many as there are partitions; the first row of each range
-    also goes to the range before it, and no other row is sent twice.
+    quantiles, one for RANGE_BYTES of ``size`` but no fewer than there are
+    partitions; the first row of each range also goes to the range before
+    it, and no other row is sent twice.
     """
     spark = rows.sparkSession
-    ranges = partitions(spark)
+    volume = rows.agg(F.sum(size)).first()[0] or 0
+    ranges = max(partitions(spark), min(MOST_RANGES, volume // RANGE_BYTES))
     marks = [n / ranges for n in range(1, ranges)]
     bounds = rows.agg(F.percentile_approx("doc_id", marks, 10 * ranges)).first()[0] or []
     bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))] or [F.lit(None).cast("long")])
-    number = F.coalesce(_below(bounds, F.col("doc_id")), F.lit(0))
+    number = F.coalesce(below(bounds, F.col("doc_id")), F.lit(0))
     rows = rows.withColumn("range_no", number)
     firsts = rows.groupBy("range_no").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")).collect()
     firsts = sorted((r["range_no"], r["first_id"]) for r in firsts)
@@ -263,7 +226,8 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_removed and n_added paragraphs of each row.
+    near_edited, near_next, n_removed and n_added paragraphs of each row, and
+    tries: the sketches it took to tell them (0 where nothing differs).
 
     Null texts count as empty, whose fingerprint has empty cells only. Rows
     that share a doc_id go by a hash of their text; a lone row is its own
@@ -271,30 +235,28 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("body"), F.xxhash64(text).alias("tie"))
-    rows = rows.withColumn("digests", paragraph_digests(F.col("body")))
-    rows = with_next(rows, ["body", "digests"])
+    rows = with_next(rows, ["body"], F.octet_length("body"))
     size = F.length("body")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), size - half), F.substring(F.col("next_body"), F.lit(1), half))
-    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), "digests", "next_digests", edited.alias("edited"))
-    rows = rows.select("*", paragraph_digests(F.col("edited")).alias("edited_digests"))
-    names = ["digests", "edited_digests", "next_digests"]
-    rows = rows.select("*", *[sketch(F.col(n)).alias(f"{n}_cells") for n in names])
-    found = [
-        differences(F.col("digests"), F.col(n), F.col("digests_cells"), F.col(f"{n}_cells")).alias(f"{n}_found")
-        for n in names[1:]
-    ]
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), "body", "next_body", edited.alias("edited"))
+    sides = {"own": "body", "new": "edited", "next": "next_body"}
+    rows = rows.select("doc_id", "n_chars", "edited", *[turned(paragraph_digests(F.col(c))).alias(n) for n, c in sides.items()])
+    rows = rows.select("*", *[sketch(F.col(n), F.lit(CELL_BITS)).alias(f"{n}_cells") for n in sides])
+    found = [differences(F.col("own"), F.col(n), F.col("own_cells"), F.col(f"{n}_cells")).alias(f"{n}_found") for n in ("new", "next")]
     rows = rows.select("*", *found)
+    own = F.get("own", F.lit(0))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("digests_cells")).alias("fingerprint"),
-        shown(F.col("edited_digests_cells")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests"), F.col("edited_digests_found")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests"), F.col("next_digests_found")).alias("near_next"),
-        F.size(F.filter("edited_digests_found", lambda d: d["side"] == 1)).cast("long").alias("n_removed"),
-        F.size(F.filter("edited_digests_found", lambda d: d["side"] == -1)).cast("long").alias("n_added"),
+        shown(F.col("own_cells")).alias("fingerprint"),
+        shown(F.col("new_cells")).alias("edited_fingerprint"),
+        likeness(own, F.col("new_found")).alias("near_edited"),
+        likeness(own, F.col("next_found")).alias("near_next"),
+        F.size("new_found.left").cast("long").alias("n_removed"),
+        F.size("new_found.right").cast("long").alias("n_added"),
+        F.col("new_found.tries").cast("long").alias("tries"),
     )
 
 
