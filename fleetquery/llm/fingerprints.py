@@ -30,7 +30,7 @@ CELL_BITS = 3
 #: Each further retry has two more bits, four times the cells, up to a third of
 #: a digest's bits, which the last of so many has reached.
 RETRIES = 10
-_DIGEST_BITS = 63
+_DIGEST_BITS = 60  # a bit is left for the side
 _TURN = _DIGEST_BITS // TABLES
 _ROUNDS = 64
 #: Bytes of text meant for one range of documents, and most ranges.
@@ -38,10 +38,10 @@ RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The different digests (63 bits) of a text's paragraphs: its lines,
+    """The different digests (60 bits) of a text's paragraphs: its lines,
     cut after each sentence, whatever their length."""
-    pieces = F.filter(F.split(text, "\n|(?<=[.!?]) "), lambda p: p != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.shiftrightunsigned(F.xxhash64(p), 1)))
+    pieces = F.filter(F.split(text, "\n| (?<=[.!?] )"), lambda p: p != "")
+    return F.array_distinct(F.transform(pieces, lambda p: F.shiftrightunsigned(F.xxhash64(p), 64 - _DIGEST_BITS)))
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -53,7 +53,7 @@ def _right(value: Column, by: Column) -> Column:
 
 
 def _turned(digest: Column, by: Column) -> Column:
-    """The 63 bits of ``digest`` turned left by ``by`` bits."""
+    """The bits of ``digest`` turned left by ``by``."""
     high = _left(digest, by).bitwiseAND(F.lit((1 << _DIGEST_BITS) - 1))
     return high.bitwiseOR(_right(digest, F.lit(_DIGEST_BITS) - by))
 
@@ -76,21 +76,38 @@ def _starts(cells_of: Column, cells: Column) -> Column:
     return F.filter(places, lambda i: i >= 0)
 
 
-def added(sketches: Column, tables: Column, bits: Column, side: int) -> Column:
+def added(sketches: Column, tables: Column, bits: Column) -> Column:
     """``sketches`` of 2**bits cells a table with ``turned`` digests added: a
-    cell's count goes by ``side`` for each, its key and check by XOR."""
+    cell's count goes up by one for each, its key and check by XOR."""
+    return _merged(sketches, tables, bits, _DIGEST_BITS, lambda d: (F.lit(1), d))
 
-    def filled(cells: Column, digests: Column) -> Column:
+
+def removed(sketches: Column, found: Column, bits: Column) -> Column:
+    """``sketches`` without ``found``: digests doubled, plus one for those of
+    the right side, whose cells count them as -1."""
+
+    def signed(by: Column) -> Column:
+        return F.sort_array(F.transform(found, lambda v: _turned(F.shiftright(v, 1), by) * 2 + v.bitwiseAND(F.lit(1))))
+
+    take = lambda v: ((v.bitwiseAND(F.lit(1)) * 2 - 1).cast("int"), F.shiftright(v, 1))
+    return _merged(sketches, F.transform(_turns(), signed), bits, _DIGEST_BITS + 1, take)
+
+
+def _merged(sketches: Column, tables: Column, bits: Column, width: int, entry: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """Each table's sorted values of ``width`` bits put into its cells; ``entry``
+    gives a value's step of the count and its digest."""
+
+    def filled(cells: Column, values: Column) -> Column:
         def cell(c: Column, start: Column, n: Column) -> Column:
             def take(a: Column, i: Column) -> Column:
-                d = F.get(digests, i)
+                by, d = entry(F.get(values, i))
                 key, check = a["key"].bitwiseXOR(d), a["check"].bitwiseXOR(F.xxhash64(d))
-                return F.struct((a["count"] + side).alias("count"), key.alias("key"), check.alias("check"))
+                return F.struct((a["count"] + by).alias("count"), key.alias("key"), check.alias("check"))
 
             # places, not a slice: that would copy the whole array for each cell
             return F.when(n == 0, c).otherwise(F.aggregate(F.sequence(start, start + n - 1), c, take))
 
-        own = F.transform(digests, lambda d: _right(d, F.lit(_DIGEST_BITS) - bits).cast("int"))
+        own = F.transform(values, lambda v: _right(v, F.lit(width) - bits).cast("int"))
         places = _starts(own, F.size(cells))
         return let(places, lambda s: F.transform(cells, lambda c, i: cell(c, F.get(s, i), F.get(s, i + 1) - F.get(s, i))))
 
@@ -103,7 +120,7 @@ def sketch(tables: Column, bits: Column) -> Column:
     zero = F.lit(0).cast("long")
     empty = F.struct(F.lit(0).alias("count"), zero.alias("key"), zero.alias("check"))
     cells = F.array_repeat(empty, _left(F.lit(1), bits))
-    return added(F.transform(tables, lambda _: cells), tables, bits, 1)
+    return added(F.transform(tables, lambda _: cells), tables, bits)
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -118,37 +135,34 @@ def peel(tables: Column, bits: Column) -> Column:
     """left, right: the digests that only one side has; ok: whether nothing is
     left in the cells."""
 
-    def pure(held: Column, side: int) -> Column:
-        of = lambda c: (c["count"] == side) & (c["check"] == F.xxhash64(c["key"]))
+    def pure(held: Column) -> Column:
+        of = lambda c: (F.abs(c["count"]) == 1) & (c["check"] == F.xxhash64(c["key"]))
+
         # turned on by the rest of the digest, a key is the digest again
-        back = lambda t: F.lit(_DIGEST_BITS) - t * _TURN
-        digests = F.transform(held, lambda cells, t: F.transform(F.filter(cells, of), lambda c: _turned(c["key"], back(t))))
-        return F.array_distinct(F.flatten(digests))
+        def digests(cells: Column, t: Column) -> Column:
+            back = F.lit(_DIGEST_BITS) - t * _TURN
+            signed = lambda c: _turned(c["key"], back) * 2 + F.when(c["count"] < 0, 1).otherwise(0)
+            return F.transform(F.filter(cells, of), signed)
 
-    def state(cells: Column, left: Column, right: Column, going: Column) -> Column:
-        return F.struct(cells.alias("cells"), left.alias("left"), right.alias("right"), going.alias("going"))
+        return F.array_distinct(F.flatten(F.transform(held, digests)))
 
-    def step(held: Column, _: Column) -> Column:
-        new = F.struct(pure(held["cells"], 1).alias("left"), pure(held["cells"], -1).alias("right"))
+    def state(cells: Column, found: Column, going: Column) -> Column:
+        return F.struct(cells.alias("cells"), found.alias("found"), going.alias("going"))
 
-        def without(found: Column) -> Column:
-            cells = held["cells"]
-            for side, name in ((-1, "left"), (1, "right")):
-                cells = F.when(F.size(found[name]) > 0, added(cells, turned(found[name]), bits, side)).otherwise(cells)
-            left, right = F.concat(held["left"], found["left"]), F.concat(held["right"], found["right"])
-            ended = state(held["cells"], held["left"], held["right"], F.lit(False))
-            some = F.size(found["left"]) + F.size(found["right"]) > 0
-            return F.when(some, state(cells, left, right, F.lit(True))).otherwise(ended)
-
-        return F.when(held["going"], let(new, without)).otherwise(held)
+    def step(held: Column, _: Column) -> Column:
+        ended = state(held["cells"], held["found"], F.lit(False))
+        more = lambda new: state(removed(held["cells"], new, bits), F.concat(held["found"], new), F.lit(True))
+        peeled = let(pure(held["cells"]), lambda new: F.when(F.size(new) > 0, more(new)).otherwise(ended))
+        return F.when(held["going"], peeled).otherwise(held)
 
     def end(held: Column) -> Column:
         clear = lambda c: (c["count"] == 0) & (c["key"] == 0) & (c["check"] == 0)
         ok = F.forall(held["cells"], lambda cells: F.forall(cells, clear))
-        return F.struct(ok.alias("ok"), held["left"].alias("left"), held["right"].alias("right"))
+        of = lambda side: F.transform(F.filter(held["found"], lambda v: v % 2 == side), lambda v: F.shiftright(v, 1))
+        return F.struct(ok.alias("ok"), of(0).alias("left"), of(1).alias("right"))
 
     none = F.array().cast("array<bigint>")
-    start = state(tables, none, none, F.lit(True))
+    start = state(tables, none, F.lit(True))
     return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, step, end)
 
 
@@ -189,7 +203,7 @@ def likeness(left: Column, found: Column) -> Column:
 
 def shown(tables: Column) -> Column:
     """A sketch as text: each cell's count and key in hexadecimal."""
-    return F.lower(F.concat_ws(".", F.transform(F.flatten(tables), lambda c: F.concat_ws(":", F.hex(c["count"]), F.hex(c["key"])))))
+    return F.concat_ws(".", F.transform(F.flatten(tables), lambda c: F.concat_ws(":", F.hex(c["count"]), F.hex(c["key"]))))
 
 
 def with_next(rows: DataFrame, carried: list[str], size: Column) -> DataFrame:
@@ -197,13 +211,13 @@ def with_next(rows: DataFrame, carried: list[str], size: Column) -> DataFrame:
     order of doc_id and tie; after the last comes the first.
 
     Rows are dealt to ranges of doc_id with bounds from approximate
-    quantiles, one for RANGE_BYTES of ``size`` but no fewer than there are
-    partitions; the first row of each range also goes to the range before
+    quantiles, one for RANGE_BYTES of ``size`` but no fewer than four for each
+    of the session's partitions, so that tasks even out; the first row of each range also goes to the range before
     it, and no other row is sent twice.
     """
     spark = rows.sparkSession
     volume = rows.agg(F.sum(size)).first()[0] or 0
-    ranges = max(partitions(spark), min(MOST_RANGES, volume // RANGE_BYTES))
+    ranges = max(4 * partitions(spark), min(MOST_RANGES, volume // RANGE_BYTES))
     marks = [n / ranges for n in range(1, ranges)]
     bounds = rows.agg(F.percentile_approx("doc_id", marks, 10 * ranges)).first()[0] or []
     bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))] or [F.lit(None).cast("long")])
@@ -219,9 +233,10 @@ def with_next(rows: DataFrame, carried: list[str], size: Column) -> DataFrame:
     ghost = F.struct(F.col("before_no").alias("at"), F.lit(True).alias("ghost"))
     both = F.when(F.col("before_no").isNull(), F.array(own)).otherwise(F.array(own, ghost))
     rows = rows.withColumn("place", F.explode(both)).drop("range_no", "first_id", "before_no")
-    order = Window.partitionBy("place.at").orderBy("place.ghost", "doc_id", "tie")
+    rows = rows.select("*", "place.at", "place.ghost").drop("place").repartition(ranges, "at")
+    order = Window.partitionBy("at").orderBy("ghost", "doc_id", "tie")
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return rows.where(~F.col("place.ghost")).drop("place")
+    return rows.where(~F.col("ghost")).drop("at", "ghost")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
