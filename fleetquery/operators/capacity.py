@@ -105,3 +105,9 @@ def minimum_redundancy(blocks: DataFrame, layouts: DataFrame, fallback: int) ->
     """One row, redundancy: least m of layouts in use; unknown ones are skipped."""
     used = blocks.select(F.coalesce(F.nullif("layout_id", F.lit("")), F.lit("layout-0000")).alias("id")).distinct()
     return used.join(layouts, "id").agg(F.coalesce(F.min("m"), F.lit(fallback)).alias("redundancy"))
+
+
+def widest_layout(layouts: DataFrame, least: int) -> DataFrame:
+    """Most shards that a stripe of any layout has, ``least`` at least (OP-A16)."""
+    width = F.coalesce(F.max(F.col("k") + F.col("m")), F.lit(0))
+    return layouts.agg(F.greatest(width, F.lit(least)).alias("width"))

@@ -98,3 +98,18 @@ def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     rest = [c for c in rows.columns if c not in keys and c not in order]
     ordered = [*order, *rest]
     return rows.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("first")).select(*keys, "first.*").select(*rows.columns)
+
+
+def encrypted_blocks(blocks: DataFrame, encrypted: Column) -> DataFrame:
+    """How many blocks are encrypted, of how many (OP-F06)."""
+    return blocks.agg(F.count_if(encrypted).alias("encrypted"), F.count("*").alias("blocks"))
+
+
+def source_layouts(blocks: DataFrame, layout: str, target: str) -> DataFrame:
+    """Layouts that blocks move away from, in order of name (OP-A17)."""
+    return blocks.where(F.col(layout) != target).select(layout).distinct().orderBy(layout)
+
+
+def either(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that stand in one of two tables or in both, once (OP-X02)."""
+    return left.unionByName(right).distinct()

@@ -153,3 +153,13 @@ def latest(candidates: DataFrame, group: Sequence[str], order: Sequence[str], co
     """The row of each group that is greatest by ``order``."""
     best = F.max_by(F.struct(*columns), F.struct(*order)).alias("best")
     return candidates.groupBy(*group).agg(best).select(*group, "best.*")
+
+
+def head_quorum(members: DataFrame, group: Sequence[str], head: Sequence[str]) -> DataFrame:
+    """group, quorum: whether a majority of all members, of those that are
+    readable and have no invalid entry, has the same head. ``members`` has one
+    row a member; a group without rows is not listed."""
+    sound = F.col("readable") & (F.col("invalid_entries") == 0)
+    heads = members.groupBy(*group, *head).agg(F.count("*").alias("rows"), F.count_if(sound).alias("held"))
+    majority = F.call_function("div", F.sum("rows"), F.lit(2)) + 1
+    return heads.groupBy(*group).agg((F.max("held") >= majority).alias("quorum"))

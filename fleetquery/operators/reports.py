@@ -81,3 +81,11 @@ def preflight(pools: DataFrame, writable: bool) -> DataFrame:
         )
     )
     return rows.withColumn("issues", issues).withColumn("ok", F.size("issues") == 0)
+
+
+def ordered_scenarios(rows: DataFrame, scenario: str, known: Sequence[str]) -> DataFrame:
+    """scenario, place: the scenarios that occur, ``known`` ones first in their
+    order, then all others by name (OP-O09)."""
+    at = F.array_position(F.array(*[F.lit(k) for k in known]), F.col(scenario))
+    place = F.when(at > 0, at).otherwise(len(known) + 1).cast("int")
+    return rows.select(scenario).distinct().withColumn("place", place).orderBy("place", scenario)

@@ -203,3 +203,27 @@ def scenario_rotation(spark: SparkSession, d: str) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(p).alias("pos")) for n, p in names])).alias("s")
     rows = runs.select("iteration", cells)
     return rows.select("iteration", "s.scenario", ((F.col("s.pos") + F.col("iteration")) % len(names)).cast("int").alias("slot"))
+
+
+@query(
+    "journal_head_quorum",
+    """WITH h AS (SELECT l_orderkey, l_returnflag AS head, count(*) AS n, count(*) FILTER (l_discount < 0.09 AND l_tax <= 0.07) AS held
+      FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey, max(held) >= sum(n) // 2 + 1 AS quorum FROM h GROUP BY 1""",
+)
+def journal_head_quorum(spark: SparkSession, d: str) -> DataFrame:
+    members = read(spark, d, "lineitem").select(
+        "l_orderkey",
+        (F.col("l_discount") < 0.09).alias("readable"),
+        F.when(F.col("l_tax") > 0.07, 1).otherwise(0).alias("invalid_entries"),
+        F.col("l_returnflag").alias("head"),
+    )
+    return logs.head_quorum(members, ["l_orderkey"], ["head"])
+
+
+@query(
+    "scenario_order",
+    """SELECT DISTINCT event_type, CAST(coalesce(list_position(['view', 'click'], event_type), 3) AS INT) AS place FROM events""",
+)
+def scenario_order(spark: SparkSession, d: str) -> DataFrame:
+    return reports.ordered_scenarios(read(spark, d, "events"), "event_type", ["view", "click"])

@@ -571,3 +571,40 @@ def label_escape(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(
         "page_id", text.escape_label(raw).alias("label"), text.snapshot_name(F.col("url")).alias("snapshot")
     )
+
+
+@query("encrypted_blocks", "SELECT count(*) FILTER (o_orderkey % 4 = 1) AS encrypted, count(*) AS blocks FROM orders")
+def encrypted_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.encrypted_blocks(read(spark, d, "orders"), F.col("o_orderkey") % 4 == 1)
+
+
+@query(
+    "widest_layout",
+    f"WITH {LAYOUTS_SQL} SELECT greatest(coalesce(max(k + m), 0), 3) AS width FROM layouts",
+)
+def widest_layout(spark: SparkSession, d: str) -> DataFrame:
+    from fleetquery.operators.capacity import widest_layout as widest
+
+    return widest(_layouts(spark, d), 3)
+
+
+@query(
+    "source_layouts",
+    f"""WITH {BLOCKS_SQL} SELECT DISTINCT coalesce(nullif(layout_id, ''), 'layout-0000') AS layout_id FROM blocks
+    WHERE coalesce(nullif(layout_id, ''), 'layout-0000') <> 'layout-0003'""",
+)
+def source_layouts(spark: SparkSession, d: str) -> DataFrame:
+    of = F.coalesce(F.nullif("layout_id", F.lit("")), F.lit("layout-0000"))
+    return integrity.source_layouts(_blocks(spark, d).select(of.alias("layout_id")), "layout_id", "layout-0003")
+
+
+@query(
+    "listed_attributes",
+    """SELECT user_id AS file, 'user.' || event_type AS name FROM events
+    UNION SELECT user_id, 'system.posix_acl_access' FROM events WHERE event_type = 'signup'""",
+)
+def listed_attributes(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select(F.col("user_id").alias("file"), "event_type")
+    stored = rows.select("file", F.concat(F.lit("user."), "event_type").alias("name"))
+    made = rows.where("event_type = 'signup'").select("file", F.lit("system.posix_acl_access").alias("name"))
+    return integrity.either(stored, made)
