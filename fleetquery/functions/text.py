@@ -112,6 +112,11 @@ def ratio_text(value: Column) -> Column:
     )
 
 
+def thousands(value: Column) -> Column:
+    """A whole number with a comma between groups of three digits."""
+    return F.format_number(value, 0)
+
+
 def align_up(value: Column, block: int) -> Column:
     return align_down(value + (block - 1), block)
 

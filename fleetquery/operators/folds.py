@@ -26,6 +26,15 @@ def ewma(samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     return sums.select(*keys, (F.col("weighted") + seed).alias("ewma"), "samples")
 
 
+def throughput_ewma(samples: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, seconds: Column) -> DataFrame:
+    """keys, mib_s: average of MiB a second, each sample weighing a fifth.
+    Samples without bytes leave it as it was; 0 where none has any (OP-W03)."""
+    rate = size / F.lit(1048576.0) / F.greatest(seconds, F.lit(1e-6))
+    moved = ewma(samples.where(size > 0), keys, order, rate, 0.2).select(*keys, "ewma")
+    every = samples.select(*keys).distinct().join(moved, list(keys), "left")
+    return every.select(*keys, F.coalesce("ewma", F.lit(0.0)).alias("mib_s"))
+
+
 def positive_ms(seconds: Column) -> Column:
     """Milliseconds of a duration of at least a microsecond."""
     return F.greatest(seconds, F.lit(1e-6)) * 1000.0

@@ -89,3 +89,10 @@ def ordered_scenarios(rows: DataFrame, scenario: str, known: Sequence[str]) -> D
     at = F.array_position(F.array(*[F.lit(k) for k in known]), F.col(scenario))
     place = F.when(at > 0, at).otherwise(len(known) + 1).cast("int")
     return rows.select(scenario).distinct().withColumn("place", place).orderBy("place", scenario)
+
+
+def column_summary(rows: DataFrame, scenario: str, value: str) -> DataFrame:
+    """scenario, records, mean, most of a column of measurements (OP-A21)."""
+    return rows.groupBy(scenario).agg(
+        F.count("*").alias("records"), F.avg(value).alias("mean"), F.max(value).alias("most")
+    )

@@ -173,6 +173,19 @@ def latency_ewma(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "samples", F.round("ewma", 6).alias("ewma_ms"))
 
 
+@query(
+    "throughput_ewma",
+    "WITH m AS (SELECT user_id, "
+    + EWMA_SQL.format(value="CAST(event_id % 5 AS DOUBLE) / greatest(value, 0.000001::DOUBLE)", alpha=0.2)
+    + """ AS e FROM events WHERE event_id % 5 > 0 GROUP BY 1)
+    SELECT u.user_id, round(coalesce(e, 0.0::DOUBLE), 6) AS mib_s FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m ON m.user_id = u.user_id""",
+)
+def throughput_ewma(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("event_id") % 5 * 1048576
+    found = folds.throughput_ewma(events(spark, d), ["user_id"], ["ts", "event_id"], size, F.col("value"))
+    return found.select("user_id", F.round("mib_s", 6).alias("mib_s"))
+
+
 @query(
     "utility_ewma",
     "SELECT user_id, count(*) AS samples, round("

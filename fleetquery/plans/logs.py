@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetquery.functions import text
 from fleetquery.operators import folds, logs, reports
 from fleetquery.plans.stand_ins import read
 
@@ -227,3 +228,12 @@ def journal_head_quorum(spark: SparkSession, d: str) -> DataFrame:
 )
 def scenario_order(spark: SparkSession, d: str) -> DataFrame:
     return reports.ordered_scenarios(read(spark, d, "events"), "event_type", ["view", "click"])
+
+
+@query(
+    "column_summary",
+    """SELECT event_type, format('{:,}', count(*)) AS records, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1""",
+)
+def column_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = reports.column_summary(read(spark, d, "events"), "event_type", "value")
+    return found.select("event_type", text.thousands(F.col("records")).alias("records"), F.round("mean", 6).alias("mean"), "most")
